@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from skein.llm.decontaminate import decontaminate
 from skein.llm.exact_dedup import exact_dedup
+from skein.llm.line_dedup import line_dedup
 from skein.llm.sharding import histogram_shards
+from skein.llm.substring_dedup import substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(_documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -26,13 +32,27 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), digest_all=True)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), "runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op3_line_dedup": op3_line_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_line_dedup": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+        k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        r AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        d AS (SELECT k.*, coalesce(keeper <> doc_id, false) AS gone FROM k LEFT JOIN r USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM d GROUP BY doc_id""",
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
         SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,

@@ -41,12 +41,12 @@ def _bin(key: Column, lo: int, hi: int) -> Column:
 def _refine(thin: DataFrame, key: str, within: list[Column], targets: list[int], below: list[int], slack: int, last: bool) -> list[tuple[int, int, bool]]:
     """For each target: (greatest key that goes left, bytes up to it, met); unmet: the key whose rows straddle the target, and the bytes before it."""
     n = len(targets)
-    ranges, base, done = [(LOW, HIGH)] * n, list(below), [None] * n
+    ranges, base, lower, done = [(LOW, HIGH)] * n, list(below), [None] * n, [None] * n
     while any(x is None for x in done):
         todo = [i for i in range(n) if done[i] is None]
         counts = _histogram(thin, key, [within[i] for i in todo], [ranges[i] for i in todo])
         for j, i in enumerate(todo):
-            at, prev = base[i], None
+            at, prev = base[i], lower[i]
             for b in sorted(counts[j]):
                 s, lo, hi = counts[j][b]
                 if at + s >= targets[i]:
@@ -59,10 +59,10 @@ def _refine(thin: DataFrame, key: str, within: list[Column], targets: list[int],
             if min(before, after) <= slack and (after <= before or prev is not None):
                 done[i] = (hi, at + s, True) if after <= before else (prev, at, True)
             elif lo == hi:
-                left = last and prev is not None and before < after
-                done[i] = (prev, at, True) if left else (hi, at + s, True) if last else (lo, at, False)
+                nearer = (LOW if prev is None else prev, at, True) if before < after else (hi, at + s, True)
+                done[i] = nearer if last else (lo, at, False)
             else:
-                ranges[i], base[i] = (lo, hi), at
+                ranges[i], base[i], lower[i] = (lo, hi), at, prev
     return done
 
 
@@ -85,7 +85,7 @@ def histogram_shards(docs: DataFrame, *, shards: int = 8, id_col: str = "doc_id"
     thin = written(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size"),
-            F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOW)).alias("k"),
+            F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text_col).alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOW + 1)).alias("k"),
         ), "shards",
     )
     total = thin.agg(F.sum("size")).first()[0] or 0
