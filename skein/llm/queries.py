@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.llm.decontaminate import decontaminate
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.line_dedup import line_dedup
+from skein.llm.near_dedup import near_dedup
 from skein.llm.sharding import histogram_shards
 from skein.llm.substring_dedup import substring_dedup
 
@@ -24,6 +25,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -40,6 +45,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
@@ -53,6 +59,17 @@ ORACLE: dict[str, str] = {
         d AS (SELECT k.*, coalesce(keeper <> doc_id, false) AS gone FROM k LEFT JOIN r USING (key))
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM d GROUP BY doc_id""",
+    "op4_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct([array_to_string(w[i : i + 3], ' ') for i in range(1, greatest(len(w) - 3, 1) + 1)]) END AS s FROM w),
+        e AS (SELECT DISTINCT s, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS doc_id FROM s WHERE len(s) > 0),
+        x AS (SELECT doc_id, n, unnest(s) AS t FROM e),
+        p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        g AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+        r(a, b) AS (SELECT doc_id, doc_id FROM e UNION SELECT r.a, g.v FROM r JOIN g ON g.u = r.b),
+        c AS (SELECT a, min(b) AS root FROM r GROUP BY a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.root, s.doc_id) AS component_id, coalesce(c.root, s.doc_id) = s.doc_id AS kept
+        FROM s LEFT JOIN e ON e.s = s.s LEFT JOIN c ON c.a = e.doc_id""",
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
         SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
