@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.decontaminate import decontaminate
 from skein.llm.exact_dedup import exact_dedup
+from skein.llm.lang_id import identify_language, train_language
 from skein.llm.line_dedup import line_dedup
 from skein.llm.near_dedup import near_dedup
+from skein.llm.quality import score_quality, train_quality
 from skein.llm.sharding import histogram_shards
 from skein.llm.substring_dedup import substring_dedup
 
@@ -17,6 +19,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    field = train_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), usable=_remainder(5) != 0)
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    return score_quality(docs, field).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_shards(_documents(spark, sf_dir))
 
@@ -33,6 +46,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    model = train_language(docs, usable=_remainder(3) != 1)
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    return identify_language(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), digest_all=True)
 
@@ -43,10 +63,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
 }
