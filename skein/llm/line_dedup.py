@@ -44,7 +44,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     new ones are replaced. An empty table gives an empty result.
     """
     bitmaps = written(drop_bitmaps(docs, id_col=id_col, text_col=text_col, least_chars=least_chars, least_docs=least_docs), "bitmaps")
-    joined = docs.withColumn("_id", F.col(id_col).cast("long")).join(bitmaps.withColumnsRenamed({"doc_id": "_id", "dropped": "_dropped"}), "_id", "left")
+    joined = docs.withColumn("_id", F.col(id_col).cast("long")).join(bitmaps.withColumnsRenamed({"doc_id": "_id", "dropped": "_dropped"}).hint("merge"), "_id", "left")  # no bound is known, so no broadcast
     lines = F.when(F.col("_dropped").isNull(), F.array(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.filter(lines_of(F.col(text_col)), lambda x, i: F.coalesce(F.try_element_at("_dropped", F.shiftright(i, 6)).bitwiseAND(_bit(i)), F.lit(0)) == 0))
     n_lines = F.length(F.coalesce(F.col(text_col), F.lit(""))) - F.length(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(""))) + 1
     n_dropped = F.coalesce(F.aggregate(F.map_values("_dropped"), F.lit(0), lambda a, x: a + F.bit_count(x)), F.lit(0))
