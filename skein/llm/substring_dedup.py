@@ -119,5 +119,5 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     found = written(repeated_spans(docs, id_col=id_col, text_col=text_col, n_sentences=n_sentences, n_words=n_words), "runs")
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    joined = thin.join(found, "doc_id", "left")
+    joined = thin.join(found.hint("merge"), "doc_id", "left")  # no bound is known, so no broadcast
     return joined.select("doc_id", "text", "runs").mapInArrow(_cut, "doc_id long, n_sentences long, n_removed long, runs array<struct<pos:int,size:int>>, kept_text string")
