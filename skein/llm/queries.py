@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from skein.llm.decontaminate import decontaminate
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.lang_id import identify_language, train_language
+from skein.llm.license_scan import license_report
+from skein.llm.license_scan import oracle_sql as license_sql
 from skein.llm.line_dedup import line_dedup
 from skein.llm.near_dedup import near_dedup
 from skein.llm.quality import score_quality, train_quality
+from skein.llm.sentencepiece_codec import codec_report
 from skein.llm.sharding import histogram_shards
 from skein.llm.substring_dedup import substring_dedup
 
@@ -42,6 +45,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(_documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -62,18 +69,25 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), "runs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_report(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_decontamination": op6_decontamination,
     "op7_language": op7_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {
+    "op5_license_scan": license_sql(),
     "op3_line_dedup": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
         k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
