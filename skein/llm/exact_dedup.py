@@ -50,10 +50,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     alone = marked.filter(F.col("n_prefix").isNull())
     survivors = marked.filter(F.col("n_prefix").isNotNull()).drop("n_prefix")
     if not digest_all:
-        full = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).join(survivors.select("doc_id").distinct(), "doc_id", "left_semi")
-        full = full.select("doc_id", F.length("norm").alias("norm_len"), F.sha2("norm", 256).alias("text_sha256")).distinct()
-        survivors = survivors.drop("text_sha256").join(full, ["doc_id", "norm_len"])
-        survivors = written(survivors.select(*thin.columns), "exact-full")
+        full = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).join(survivors.select("doc_id").distinct().withColumnRenamed("doc_id", "_s"), F.col("doc_id").eqNullSafe(F.col("_s")), "left_semi")
+        full = full.select(F.col("doc_id").alias("_id"), F.length("norm").alias("_len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("_prefix"), F.sha2("norm", 256).alias("_sha")).distinct()
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("norm_len") == F.col("_len")) & (F.col("prefix") == F.col("_prefix"))
+        survivors = written(survivors.join(full, same).withColumn("text_sha256", F.col("_sha")).select(*thin.columns), "exact-full")
     best = F.struct(-F.col("n_code"), F.col("doc_id").isNull(), F.col("doc_id"))
     groups = survivors.groupBy("norm_len", "text_sha256").agg(F.min(best).getField("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     grouped = attach(survivors, groups, ["norm_len", "text_sha256"], ["keep_id", "group_size"], "group_size", F.col("doc_id"))

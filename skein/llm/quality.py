@@ -81,10 +81,10 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 def with_neighbours(base: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A line's own features, those of the lines before and after it (none at a text's ends), and a constant."""
     before, after = np.zeros_like(base), np.zeros_like(base)
-    before[1:], after[:-1] = base[:-1], base[1:]
-    inner = first[:-1][np.diff(first) > 0]
-    before[inner] = 0
-    after[np.append(inner[1:], len(base)) - 1] = 0
+    if len(base):
+        before[1:], after[:-1] = base[:-1], base[1:]
+        before[first[:-1]] = 0
+        after[first[1:] - 1] = 0
     return np.concatenate([base, before, after, np.ones((len(base), 1))], axis=1)
 
 
