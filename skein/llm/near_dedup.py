@@ -17,6 +17,8 @@ SHINGLE, BANDS = 4, 24
 #: Permutations in a band; each gives a minimum and a maximum, so a band holds four values for two hash evaluations.
 PER_BAND = 2
 SIMILARITY = (80, 100)
+#: Rounds of new pivots go on while one in so many of their pairs is a link; the prefix filter then settles the rest whatever is left.
+MANY = 50
 _rng = np.random.default_rng(7)
 _multipliers = _rng.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
 _offsets = _rng.integers(0, 2**63, 256, dtype=U)
@@ -108,24 +110,40 @@ def _fits(a: str, b: str, similarity: tuple[int, int]) -> Column:
     return (F.least(a, b) * similarity[1]) >= (F.greatest(a, b) * similarity[0])
 
 
-def _rest(members: DataFrame, sets: DataFrame, roots: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs that share a band, are in different components so far and may be similar.
-
-    Members of bands that still hold several components are compared by prefix
-    filter: of a set's shingles in order of rarity among them, two sets as
-    similar as asked share one of the first |s| - ceil(similarity * |s|) + 1.
-    """
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of bands that hold several components so far, with their root."""
     labelled = members.join(roots.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    labelled = labelled.join(mixed, "band", "left_semi").select("doc_id", "root").distinct()
-    tokens = labelled.join(sets, "doc_id").select("doc_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
-    tokens = written(tokens, "tokens")
-    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.countDistinct("root").alias("roots"))
-    need = F.col("n") - F.ceil(F.col("n") * similarity[0] / similarity[1]) + 1
-    ordered = tokens.join(rare, "token").groupBy("doc_id", "root", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "token", "roots"))), F.lit(1), F.first(need).cast("int")).alias("p"))
-    prefix = ordered.select("doc_id", "root", "n", F.explode("p").alias("p")).filter("p.roots > 1").select("doc_id", "root", "n", F.col("p.token").alias("token"))
-    other = prefix.withColumnsRenamed({"doc_id": "v", "root": "root_v", "n": "n_v"})
-    return prefix.withColumnRenamed("doc_id", "u").join(other, "token").filter((F.col("root") < F.col("root_v")) & _fits("n", "n_v", similarity)).select("u", "v").distinct()
+    return labelled.join(mixed, "band", "left_semi").select("band", "doc_id", "n_shingles", "root")
+
+
+def _next_star(mixed: DataFrame, turn: int, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of each member outside its band's largest component with one member of that component, another in each turn."""
+    by_root = mixed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(turn)).alias("o"), "doc_id", "n_shingles")).alias("p"))
+    largest = by_root.groupBy("band").agg(F.max(F.struct("c", "root", "p")).alias("x")).select("band", F.col("x.root").alias("root_p"), F.col("x.p.doc_id").alias("pivot"), F.col("x.p.n_shingles").alias("n_pivot"))
+    pairs = mixed.join(largest, "band").filter((F.col("root") != F.col("root_p")) & _fits("n_shingles", "n_pivot", similarity))
+    return pairs.select(F.least("doc_id", "pivot").alias("u"), F.greatest("doc_id", "pivot").alias("v")).distinct()
+
+
+def _rest(mixed: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs of different components that share a band and may be similar, by prefix filter.
+
+    With part / whole the similarity asked: of a set's shingles in order of
+    rarity among the members given, two sets as similar share one of the first
+    n - ceil(n * part / whole) + 1; and from the first that they share on, both
+    have as many left as the intersection needs.
+    """
+    part, whole = similarity
+    labelled = mixed.select("doc_id", "root").distinct()
+    tokens = written(labelled.join(sets, "doc_id").select("doc_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
+    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    need = (F.col("n") - F.ceil(F.col("n") * part / whole) + 1).cast("int")
+    ordered = tokens.join(rare, "token").groupBy("doc_id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token", (F.col("lo") < F.col("hi")).alias("shared")))).alias("p"))
+    prefix = ordered.select("doc_id", "root", "n", F.posexplode(F.slice("p", F.lit(1), need)).alias("i", "p")).filter("p.shared").select("doc_id", "root", (F.col("n")).alias("n"), (F.col("n") - F.col("i")).alias("left"), F.col("p.token").alias("token"))
+    other = prefix.withColumnsRenamed({"doc_id": "v", "root": "root_v", "n": "n_v", "left": "left_v"})
+    enough = F.least("left", "left_v") * (part + whole) >= (F.col("n") + F.col("n_v")) * part
+    pairs = prefix.withColumnRenamed("doc_id", "u").join(other, "token").filter((F.col("root") < F.col("root_v")) & _fits("n", "n_v", similarity) & enough)
+    return pairs.select("u", "v").distinct()
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bands: int = BANDS, per_band: int = PER_BAND, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -141,9 +159,11 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     similarity 0.8 shares none of 24 bands with probability 3e-6. Documents of
     equal sets are one class from the first shuffle on. Then, in each band, all
     classes are compared with one of them, another in each band (as many pairs
-    as rows), on the full sets; bands that hold several components after that
-    are compared by prefix filter, so that no similar pair that shares a band
-    stays apart, and pairs within a component are not listed again.
+    as rows), on the full sets; in bands that still hold several components the
+    members outside the largest are compared with one of its members, again and
+    again while that links many; the rest is compared by prefix filter, so that
+    no similar pair that shares a band stays apart. Pairs within a component are
+    not listed again.
 
     Null and empty texts, and those without words, have no shingles and are
     linked with nothing. Rows without an id are their own component. Repeated
@@ -168,12 +188,27 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     star = members.filter((F.col("doc_id") != F.col("pivot")) & _fits("n_shingles", "n_pivot", similarity)).select(F.least("doc_id", "pivot").alias("u"), F.greatest("doc_id", "pivot").alias("v")).distinct()
     links = written(_confirmed(star, sets_once, similarity), "links")
     roots = components(links)
-    more = written(_confirmed(_rest(members, sets_once, roots, similarity), sets_once, similarity), "links")
-    roots = components(more.union(roots.select("node", "root")))
+    removed(links)
+    turn = 0
+    while True:  # a few more pivots for those left outside, as long as that links many of them
+        mixed = written(_mixed(members, roots), "mixed")
+        star = written(_next_star(mixed, turn, similarity), "star")
+        links = written(_confirmed(star, sets_once, similarity), "links")
+        tried, linked = star.count(), links.count()
+        roots = components(links.union(roots.select("node", "root"))) if linked else roots
+        removed(star)
+        removed(links)
+        removed(mixed)
+        turn += 1
+        if linked * MANY < tried or not linked:
+            break
+    mixed = written(_mixed(members, roots), "mixed")
+    links = written(_confirmed(_rest(mixed, sets_once, similarity), sets_once, similarity), "links")
+    roots = components(links.union(roots.select("node", "root")))
     joined = classes.join(roots, classes["rep"] == roots["node"], "left").select(*name, "n_docs", F.coalesce("root", "rep").alias("component"))
     joined = written(joined, "components")
-    for t in (pivots, members, sets, links, more, classes):
+    for t in (pivots, members, sets, links, mixed, classes):
         removed(t)
     out = attach(signed.drop("bands"), joined, name, ["component"], "n_docs", F.col("doc_id"))
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
