@@ -21,8 +21,9 @@ def _stream(batches: Iterator[pa.RecordBatch], least: int, by_doc: bool) -> Iter
     A unit is a document or, without `by_doc`, a single row. Memory holds a
     batch and, of the key at its end, the rows of units 2 to `least - 1`. The
     keys at a part's two ends may go on in the parts beside it: of the first key
-    all rows, of the last those undecided are passed on as OPEN, with an EDGE
-    row of what this part has of the key (pos: the part; size: its first pos).
+    the rows of its first unit here, of both those undecided are passed on as
+    OPEN, with an EDGE row of what this part has of the key (pos: the part;
+    size: its first pos).
     """
     names = ["h1", "h2", "ord", "pos", "size"]
 
@@ -58,6 +59,7 @@ def _stream(batches: Iterator[pa.RecordBatch], least: int, by_doc: bool) -> Iter
                 yield from (rows(h, np.full(len(h[0]), LATER, np.int8)) for h in held)
                 held = None
         elif key is not None and key == first_key:
+            yield from (rows(h, np.full(len(h[0]), OPEN, np.int8)) for h in held or [])
             yield edge()
         if now != key:
             head = (int(order[0]), int(pos[0]))
@@ -65,7 +67,10 @@ def _stream(batches: Iterator[pa.RecordBatch], least: int, by_doc: bool) -> Iter
         first = now == first_key
         kind = np.where((rank > 1) & (rank[ends] >= least)[run], LATER, -1).astype(np.int8)
         if first:
-            kind[: ends[0] + 1] = OPEN
+            ended = len(starts) > 1 and rank[ends[0]] < least
+            kind[: ends[0] + 1][(rank[: ends[0] + 1] == 1) | ended] = OPEN
+            if ended:
+                yield from (rows(h, np.full(len(h[0]), OPEN, np.int8)) for h in held or [])
         if (kind >= 0).any():
             yield rows([c[kind >= 0] for c in columns], kind[kind >= 0])
         if len(starts) > 1:
@@ -73,7 +78,7 @@ def _stream(batches: Iterator[pa.RecordBatch], least: int, by_doc: bool) -> Iter
                 key, units, last = now, int(rank[ends[0]]), int(order[ends[0]])
                 yield edge()
             held, head = None, (int(order[starts[-1]]), int(pos[starts[-1]]))
-        if rank[-1] < least and not (first and len(starts) == 1):
+        if rank[-1] < least:
             wait = (run == len(starts) - 1) & (rank > 1)
             held = [*(held or []), [c[wait] for c in columns]] if wait.any() else held
         key, units, last = (int(h1[-1]), int(h2[-1])), int(rank[-1]), int(order[-1])
