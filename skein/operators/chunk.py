@@ -112,8 +112,8 @@ def fresh_tail(messages: DataFrame, count: int = 32, max_tokens: int = 0) -> Dat
     kept = kept & ((F.col("_t") <= max_tokens) | (F.col("_n") == 1)) if max_tokens else kept
     last_speaker = F.max(F.when(F.col("role") != "tool", F.col("store_id"))).over(Window.partitionBy("session_id").orderBy("store_id"))
     rows = rows.withColumns({"_kept": kept, "_opens": F.coalesce(last_speaker, "store_id")})
-    start = F.min(F.when(F.col("_kept"), F.col("_opens"))).over(Window.partitionBy("session_id"))
-    return rows.filter(F.col("store_id") >= start).drop("_n", "_t", "_kept", "_opens")
+    rows = rows.withColumn("_start", F.min(F.when(F.col("_kept"), F.col("_opens"))).over(Window.partitionBy("session_id")))
+    return rows.filter(F.col("store_id") >= F.col("_start")).drop("_n", "_t", "_kept", "_opens", "_start")
 
 
 def diverse(rows: DataFrame, group: str, order: str, session: str, day: str, per_session: int, per_day: int) -> DataFrame:
