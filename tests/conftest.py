@@ -1,8 +1,6 @@
 import pytest
 from pyspark.sql import SparkSession
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
