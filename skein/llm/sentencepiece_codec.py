@@ -129,6 +129,8 @@ class Codec:
 
     def __init__(self, model: Model) -> None:
         self.tokenizer = build_tokenizer(model)
+        self.dummy_prefix = model.dummy_prefix
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(SPACE, " ").encode() for p, _, kind in model.pieces]
         self.by_word = not model.charsmap and model.dummy_prefix and not model.remove_extra_spaces and model.byte_fallback and self.tokenizer.pre_tokenizer is not None
         if self.by_word:
             self.marked = build_tokenizer(model)
@@ -160,7 +162,23 @@ class Codec:
             self.known.update((word, flat[a:b]) for word, a, b in zip(group, cuts[:-1], cuts[1:], strict=True))
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+        """Pieces end to end; what is then no UTF-8, and ids the model doesn't have, are left to the library's decoder.
+
+        Other pieces begin and end with whole signs, so the text is UTF-8 just if
+        every run of byte pieces is, and then both ways give the same.
+        """
+        return [self._decode(x) for x in ids]
+
+    def _decode(self, ids: np.ndarray) -> str:
+        known = self.bytes
+        if not len(ids) or (ids.min() >= 0 and ids.max() < len(known)):
+            try:
+                text = b"".join([known[i] for i in ids.tolist()]).decode()
+            except UnicodeDecodeError:
+                pass
+            else:
+                return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
 #: Texts on which every worker compares the rebuilt tokenizer with the model's own library before its first batch.

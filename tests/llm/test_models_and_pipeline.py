@@ -10,7 +10,7 @@ from skein.llm import queries
 from skein.llm.lang_id import identify_language, train_language
 from skein.llm.near_dedup import near_dedup
 from skein.llm.quality import LineField, line_features, marginals, score_quality, train_quality
-from skein.llm.sentencepiece_codec import MODEL, Model, build_tokenizer, decode, encode, merges_of, own_library, parse_model
+from skein.llm.sentencepiece_codec import MODEL, Model, build_tokenizer, decode, encode, load, merges_of, own_library, parse_model
 from test_near_and_benchmark import classes, leaks
 
 SF = "/root/testdata/sf0.01"
@@ -120,3 +120,12 @@ def test_stages(spark):
     bad = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0)], lines.schema)
     for f in names[1:]:
         assert f(spark, bad, SF).count() == 2
+
+
+def test_any_ids_decode_as_in_the_library():
+    codec, rng = load(MODEL), np.random.default_rng(4)
+    n = len(codec.bytes)
+    for _ in range(3000):
+        size = int(rng.integers(0, 12))
+        ids = np.where(rng.random(size) < 0.5, rng.integers(3, 259, size), rng.integers(0, n, size)).astype(np.int32)
+        assert codec.decode([ids]) == [codec.tokenizer.decode(ids.tolist(), skip_special_tokens=False)]
