@@ -65,7 +65,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = substring_dedup(_documents(spark, sf_dir))
+    cut = substring_dedup(_documents(spark, sf_dir), whole=True)
     return cut.select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), "runs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -1,6 +1,7 @@
 """Exact, line and passage duplicates and sharding against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -113,6 +114,24 @@ def test_passages(table):
     assert any(x[1] for x in got.values())
 
 
+def test_passages_within_sentences(spark):
+    """Copies of 50 words without a stop, with stops behind signs or non-ASCII ones, and wrapped anew, within other words."""
+    rng = random.Random(3)
+    rows = []
+    for k, stop in enumerate(["", "&&&", '."', "\u3002", ".", "!)"] * 5):
+        words = [f"w{k}x{rng.randrange(10**6)}" + (stop if i % (7 + k) == 6 and stop else "") for i in range(50)]
+        other = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]  # noqa: E731, B023
+        rows.append((3 * k, " ".join([*other(rng.randrange(30)), *words, *other(rng.randrange(30))])))
+        rows.append((3 * k + 1, " ".join([*other(rng.randrange(30)), *words, *other(rng.randrange(30))])))
+        rows.append((3 * k + 2, "\n".join([*other(rng.randrange(30)), *words, *other(rng.randrange(30))])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    for r in substring_dedup(docs, whole=True).collect():
+        assert (r.n_removed > 0) == (r.doc_id % 3 > 0), r
+        lost = len(text[r.doc_id].split()) - len(r.kept_text.split())
+        assert lost >= 20 if r.doc_id % 3 else r.kept_text == text[r.doc_id]
+
+
 def test_shards(table):
     rows = dict(pairs(table))
     got = histogram_shards(table).collect()
