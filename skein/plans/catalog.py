@@ -268,7 +268,7 @@ def stripped_media(spark, d):
 
 @query("SELECT doc_id, CASE WHEN length(text) < 65536 THEN NULL END AS reason FROM documents WHERE length(text) < 65536")
 def quarantine_reasons(spark, d):
-    return src.table(spark, d, "documents").filter(F.length("text") < 65536).select("doc_id", T.quarantine_reason(F.col("text")).alias("reason"))
+    return src.table(spark, d, "documents").select("doc_id", T.quarantine_reason(F.col("text")).alias("reason"))
 
 
 @query(r"SELECT doc_id, CASE WHEN est <= 100 THEN text ELSE substr(text, 1, 195) || chr(10) || '...' || chr(10) || substr(text, length(text) - 194, 195) END AS text FROM (SELECT doc_id, text, " + S.estimate("text") + " AS est FROM documents)")
