@@ -81,11 +81,23 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataF
 
 
 def knn_two_stage(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, mult: int = PRESCREEN) -> DataFrame:
-    """The mult * k rows of least Hamming distance of signs, then those ranked exactly: coverage is full_approx."""
+    """The k nearest by signs first: coverage is full_approx, as of a path by signs, but no neighbour is missed.
+
+    The mult * k rows of least Hamming distance are ranked exactly; their k-th
+    score is reached by all of the k nearest. A unit row's cosine is at most the
+    length of the unit query over the signs they share, so the rows whose bound
+    reaches that score are all that can be among the k, and are ranked exactly.
+    How many they are is left to the data; fewer than k scores bound nothing.
+    """
     dim, q = len(query), F.array(*(F.lit(float(x)) for x in query))
     rows = candidates(vectors, where, None)
+    score = dot(normalized(F.col("embedding"), dim), normalized(q, dim)).alias("score")
     near = rows.select("row_id", "embedding", hamming(sign_words(F.col("embedding"), dim), sign_words(q, dim)).alias("distance")).orderBy("distance", F.desc("row_id")).limit(max(k, mult * k))
-    scored = near.select("row_id", dot(normalized(F.col("embedding"), dim), normalized(q, dim)).alias("score")).filter(F.col("score").isNotNull())
+    best = near.select(score).filter(F.col("score").isNotNull()).orderBy(F.desc("score")).limit(k)
+    least = best.agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    shared = F.aggregate(F.zip_with("embedding", normalized(q, dim), lambda x, y: F.when((x >= 0) == (y >= 0), y * y).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    reach = rows.crossJoin(F.broadcast(least)).filter(F.col("least").isNull() | (F.sqrt(shared) >= F.col("least") - 1e-9))
+    scored = reach.select("row_id", score).filter(F.col("score").isNotNull())
     return scored.orderBy(F.desc("score"), F.desc("row_id")).limit(k).withColumn("coverage", F.lit("full_approx"))
 
 

@@ -2,7 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+from skein.operators import vector
 from skein.plans import catalog, catalog_more  # noqa: F401
+from skein.sources import tables as src
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +29,19 @@ def test_quarantine_of_long_texts(spark, tmp_path):
     got = {r.doc_id: r.reason for r in catalog.QUERIES["quarantine_reasons"](spark, str(tmp_path)).collect()}
     assert got == {i: reason(t) for i, t in enumerate(texts)}
     assert [i for i, x in got.items() if x] and got.keys() == set(range(len(texts)))
+
+
+def test_two_stage_recall(spark):
+    """Recall 0.9 with the query's own parameters, for the query's own row and others."""
+    v = src.vectors(spark, SF).cache()
+    near = lambda df: {r.row_id for r in df.collect()}
+    row = catalog._vector(spark, SF)
+    assert near(catalog.QUERIES["knn_two_stage"](spark, SF)) == near(vector.knn(v, row, 10, bound=None))
+    asked = [r.embedding for r in v.filter("row_id % 100 = 0").collect()]
+    hits = sum(len(near(vector.knn(v, q, 10, bound=None)) & near(vector.knn_two_stage(v, q, 10))) for q in asked)
+    assert hits >= 9 * len(asked)
+    odd = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [1.0, float("nan")]), (4, [1.0]), (5, [-3.0, 4.0]), (6, None), (7, [-1.0, 0.5])]
+    odd = spark.createDataFrame([(i, e, False, 1.0) for i, e in odd], "row_id long, embedding array<double>, archived boolean, timestamp double")
+    for k in (1, 2, 3, 10):
+        assert [r.row_id for r in vector.knn_two_stage(odd, [3.0, 4.0], k, mult=1).collect()] == [1, 5, 7][:k]
+    v.unpersist()
