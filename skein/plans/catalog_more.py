@@ -378,9 +378,7 @@ def trajectory_digest(spark, d):
 
 @query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS m FROM events) SELECT user_id, string_agg(event_type, chr(10) ORDER BY ts, event_id) AS document, count(*) AS n_states FROM p WHERE m <= 200 GROUP BY 1")
 def trajectory_documents(spark, d):
-    s = _states(spark, d)
-    small = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("m")).filter("m <= 200")
-    return trajectory.documents(s.join(small, "user_id", "left_semi"), "user_id", ["ts", "event_id"], "event_type", most=200)
+    return trajectory.documents(_states(spark, d), "user_id", ["ts", "event_id"], "event_type", most=200)
 
 
 def _lifecycle(spark, d):

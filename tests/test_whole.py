@@ -1,5 +1,6 @@
 """Registered queries over whole tables, where the shipped ones don't show a part left out."""
 
+import datetime
 import re
 
 from pyspark.sql import functions as F
@@ -45,3 +46,21 @@ def test_two_stage_recall(spark):
     for k in (1, 2, 3, 10):
         assert [r.row_id for r in vector.knn_two_stage(odd, [3.0, 4.0], k, mult=1).collect()] == [1, 5, 7][:k]
     v.unpersist()
+
+
+def test_documents_of_hot_users(spark, tmp_path):
+    """A user with a third of the events has a document too, of 200 states evenly over them."""
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i % 700), 7 if i % 3 == 0 else i % 20, f"t{i % 11}", 1.0, "{}") for i in range(2100)]
+    rows += [(5000 + i, datetime.datetime(2024, 2, 1) + datetime.timedelta(minutes=i), 90 + i // 200, f"s{i}", 1.0, "{}") for i in range(401)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    users = {}
+    for e, t, u, kind, *_ in rows:
+        users.setdefault(u, []).append((t, e, kind))
+    want = {}
+    for u, own in users.items():
+        own.sort()
+        if len(own) > 200:
+            own = [own[i] for i in sorted({round(j * (len(own) - 1) / 199) for j in range(200)})]
+        want[u] = ("\n".join(x[2] for x in own), len(own))
+    got = {r.user_id: (r.document, r.n_states) for r in catalog.QUERIES["trajectory_documents"](spark, str(tmp_path)).collect()}
+    assert max(map(len, users.values())) > 700 and got == want
