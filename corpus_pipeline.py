@@ -36,15 +36,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of least id."""
-    kept = near_dedup(docs, shingle=SHINGLE).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    """One document of each group of near duplicates stays, the one of least id; rows without an id are linked with nothing and stay."""
+    kept = near_dedup(docs, shingle=SHINGLE).filter("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+    return named.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with too many words of benchmark items go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(found.hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+    """Documents with too many words of benchmark items go, rows without an id by their own words; of repeated ids all go if one does."""
+    marked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=[c for c in COLUMNS if c != "doc_id"])
+    found = marked.filter("contaminated and doc_id is not null").select("doc_id").distinct()
+    clean = marked.filter("doc_id is null and not contaminated").select(*COLUMNS)
+    return docs.filter("doc_id is not null").join(found.hint("merge"), "doc_id", "left_anti").select(*COLUMNS).unionByName(clean)
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,20 +46,20 @@ def anchored(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, anchors: DataFrame, small: bool) -> DataFrame:
-    """(row, n_words, start, len, items) of every place of a document that holds a window whole."""
+    """(key, n_words, start, len, items) of every place of a document that holds a window whole."""
     start = F.col("pos") - F.col("offset")
     fits = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
     if small:  # the words stay in the row: a place is verified where its prefix token is met
-        places = docs.select("doc_id", F.size("w").alias("n_words"), "w", F.posexplode("w").alias("pos", "word"))
+        places = docs.select("key", F.size("w").alias("n_words"), "w", F.posexplode("w").alias("pos", "word"))
         same = fits & (F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("window"))
         a = anchors.withColumnRenamed("word", "anchor")
-        return places.join(F.broadcast(a), (F.col("word") == F.col("anchor")) & same).select("doc_id", start.alias("start"), "len", "items")
-    places = docs.select("doc_id", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
-    found = places.join(anchors, "word").filter(fits).select("doc_id", start.alias("start"), "len", "items", "window")
-    return found.join(docs.select("doc_id", "w"), "doc_id").filter(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("window")).select("doc_id", "start", "len", "items")
+        return places.join(F.broadcast(a), (F.col("word") == F.col("anchor")) & same).select("key", start.alias("start"), "len", "items")
+    places = docs.select("key", F.size("w").alias("n_words"), F.posexplode("w").alias("pos", "word"))
+    found = places.join(anchors, "word").filter(fits).select("key", start.alias("start"), "len", "items", "window")
+    return found.join(docs.select("key", "w"), "key").filter(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("window")).select("key", "start", "len", "items")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: tuple[int, int] = (1, 20), broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, share: tuple[int, int] = (1, 20), broadcast_windows: int = BROADCAST_WINDOWS, carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     An item's windows are all runs of `window` of its words (an item of fewer
@@ -74,23 +76,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     Null and empty texts have no words and no hits; items without words match
     nothing; equal windows of several items count for each; documents repeated
-    with one id each report the hits of all of them. Empty tables are allowed
+    with one id each report the hits of all of them; rows without an id each
+    report their own. Columns named in `carry` are returned as well. Empty tables are allowed
     on either side; other columns are not read.
     """
-    docs = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w"))
+    # rows without an id go by their text: equal texts have the same hits
+    key = F.when(F.col(id_col).isNotNull(), F.concat(F.lit("i"), F.col(id_col).cast("string"))).otherwise(F.concat(F.lit("t"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.size(words_of(F.col(text_col))).alias("n_words"), *carry)
+    docs = docs.select(key.alias("key"), words_of(F.col(text_col)).alias("w"))
     windows = written(item_windows(benchmark, item_id, item_text, window), "windows")
     small = windows.count() <= broadcast_windows
     anchors = written(anchored(windows, docs, small), "anchors")
     hits = occurrences(docs, anchors, small)
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "len")), lambda x: F.sequence(x["start"], x["start"] + x["len"] - 1))))
     items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
-    by_doc = hits.groupBy("doc_id").agg(F.size(covered).alias("n_hit"), items.alias("items"))
+    by_doc = hits.groupBy("key").agg(F.size(covered).alias("n_hit"), items.alias("items"))
     by_doc = written(by_doc, "hits")
     removed(windows)
     removed(anchors)
-    out = docs.select("doc_id", F.size("w").alias("n_words")).join(by_doc, "doc_id", "left")
+    out = rows.join(by_doc, "key", "left")
     n_hit, names = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share[1] >= F.col("n_words") * share[0])).alias("contaminated"),
+        ((n_hit > 0) & (n_hit * share[1] >= F.col("n_words") * share[0])).alias("contaminated"), *carry,
     )

@@ -5,6 +5,7 @@ import random
 import re
 from collections import defaultdict
 
+import corpus_pipeline
 import pytest
 from skein.llm.components import components
 from skein.llm.decontaminate import decontaminate
@@ -122,6 +123,23 @@ def test_benchmark_edges(spark, odd):
     assert decontaminate(spark.createDataFrame([], "doc_id long, text string"), none).count() == 0
 
 
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_rows_without_an_id(spark, tmp_path, bound):
+    """Each is decided by its own text: a copy of a benchmark item goes, others stay, in the operator and in the pipeline's stages."""
+    item = " ".join(f"item{i}" for i in range(30))
+    other = [" ".join(f"n{k}w{i}" for i in range(40)) for k in range(3)]
+    rows = [(None, item), (None, other[0]), (None, None), (None, other[0]), (1, item), (2, other[1]), (None, item + " " + other[2])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.contaminated) for r in decontaminate(docs, bench, broadcast_windows=bound).collect())
+    assert got == sorted([("None", 30, 30, True), ("None", 40, 0, False), ("None", 0, 0, False), ("None", 40, 0, False), ("1", 30, 30, True), ("2", 40, 0, False), ("None", 70, 30, True)])
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda r: (str(r[0]), str(r[1]))
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted(map(key, near.collect())) == sorted(map(key, rows))
+    assert sorted(map(key, corpus_pipeline.drop_contaminated(spark, near, str(tmp_path)).collect())) == sorted(map(key, [rows[1], rows[2], rows[3], rows[5]]))
+
+
 def test_licenses(spark, odd):
     mit = TEMPLATES[5][1]
     texts = [(100, "Some prose.\n" + TEMPLATES[0][1].upper() + "\nMore of it."), (101, mit), (102, "Head\n\n" + mit.replace(", ", ",\n") + "\n\nTail"), (103, "Licensed under CC BY-NC 4.0."), (104, None), (105, "license"), (106, "The license of a work is a matter of law.")]
