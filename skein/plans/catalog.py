@@ -86,23 +86,19 @@ def source_stats(spark, d):
 _CLEAN = "a AS (SELECT session_id, count(*) AS n_messages, sum(token_estimate) AS message_tokens, min(timestamp) AS m0, max(timestamp) AS m1 FROM m GROUP BY 1), b AS (SELECT session_id, count(*) AS n_nodes, sum(token_count) AS node_tokens, min(coalesce(earliest_at, created_at)) AS n0, max(coalesce(latest_at, created_at)) AS n1 FROM n WHERE depth = 0 AND node_id % 3 > 0 GROUP BY 1)"
 
 
-def _some_nodes(spark, d):
-    return src.nodes(spark, d).filter("depth = 0 AND node_id % 3 > 0")
-
-
 @query(sql("SELECT session_id, coalesce(n_messages, 0) AS n_messages, coalesce(message_tokens, 0) AS message_tokens, coalesce(n_nodes, 0) AS n_nodes, coalesce(node_tokens, 0) AS node_tokens FROM a FULL JOIN b USING (session_id)", M, N, _CLEAN))
 def cleanup_scan(spark, d):
-    return store.cleanup_stats(src.messages(spark, d), _some_nodes(spark, d))
+    return store.cleanup_stats(src.messages(spark, d), src.nodes(spark, d))
 
 
 @query(sql(f"SELECT session_id, coalesce(n_messages, 0) AS n_messages, coalesce(n_nodes, 0) AS n_nodes, coalesce(message_tokens, 0) + coalesce(node_tokens, 0) AS footprint, least(m0, n0) AS first_at, greatest(m1, n1) AS last_at, cast(floor(({NOW} - greatest(m1, n1)) / 86400) AS INT) AS age_days, CASE WHEN floor(({NOW} - greatest(m1, n1)) / 86400) >= 90 THEN '90d' WHEN floor(({NOW} - greatest(m1, n1)) / 86400) >= 30 THEN '30d' ELSE 'fresh' END AS bucket FROM a FULL JOIN b USING (session_id)", M, N, _CLEAN))
 def retention_scan(spark, d):
-    return store.retention_stats(src.messages(spark, d), _some_nodes(spark, d), NOW)
+    return store.retention_stats(src.messages(spark, d), src.nodes(spark, d), NOW)
 
 
 @query(sql("SELECT session_id, n_messages, CASE WHEN session_id = 'c1' THEN 'protected' WHEN regexp_matches(session_id, '^c1[^:]*$') THEN 'ignored' WHEN n_messages = 0 THEN 'empty' ELSE 'kept' END AS class FROM a LEFT JOIN b USING (session_id)", M, N, _CLEAN))
 def cleanup_candidates(spark, d):
-    return diagnostics.cleanup_candidates(store.cleanup_stats(src.messages(spark, d), _some_nodes(spark, d)), ["c1*"], ["c1"]).select("session_id", "n_messages", "class")
+    return diagnostics.cleanup_candidates(store.cleanup_stats(src.messages(spark, d), src.nodes(spark, d)), ["c1*"], ["c1"]).select("session_id", "n_messages", "class")
 
 
 @query(sql("SELECT min(timestamp) AS first_at, max(timestamp) AS last_at FROM m WHERE store_id IN (SELECT o_orderkey * 1000 + 1 FROM orders)", M))

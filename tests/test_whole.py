@@ -3,10 +3,13 @@
 import datetime
 import re
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
-from skein.operators import vector
+from skein.operators import diagnostics, store, vector
 from skein.plans import catalog, catalog_more  # noqa: F401
 from skein.sources import tables as src
+from test_queries import TABLES, plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +67,38 @@ def test_documents_of_hot_users(spark, tmp_path):
         want[u] = ("\n".join(x[2] for x in own), len(own))
     got = {r.user_id: (r.document, r.n_states) for r in catalog.QUERIES["trajectory_documents"](spark, str(tmp_path)).collect()}
     assert max(map(len, users.values())) > 700 and got == want
+
+
+@pytest.mark.parametrize("name", ["cleanup_scan", "retention_scan", "cleanup_candidates", "invalidated_periods", "stale_rollups", "stated_numbers"])
+def test_whole_tables(spark, name):
+    """The query against its SQL without the filters that leave nodes, events and names out."""
+    asked = catalog.ORACLE[name]
+    for cut in (" WHERE depth = 0 AND node_id % 3 > 0", " AND event_id % 50 = 0", " WHERE NOT regexp_matches(p_name, '[0-9#]')"):
+        asked = asked.replace(cut, "")
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    result = db.execute(asked)
+    names = [x[0] for x in result.description]
+    df = catalog.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(repr([plain(r[c]) for c in names]) for r in df.collect()) == sorted(repr([plain(x) for x in r]) for r in result.fetchall())
+
+
+def test_numbers_of_all_names(spark, tmp_path):
+    rows = [(1, "plain name"), (2, "part 7 of 1,200"), (3, "Brand#13")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r.numbers for r in catalog.QUERIES["stated_numbers"](spark, str(tmp_path)).collect()}
+    assert got == {1: [12.0, 3.5, 7.0], 2: [7.0, 1200.0, 12.0, 3.5, 7.0], 3: [13.0, 12.0, 3.5, 7.0]}
+
+
+def test_one_sided_sessions(spark):
+    """Sessions that only messages or only nodes know are counted; summaries of every depth count."""
+    m = spark.createDataFrame([("a", 5, 100.0), ("a", 6, 200.0), ("b", 7, 300.0)], "session_id string, token_estimate int, timestamp double")
+    n = spark.createDataFrame([("a", 0, 3, 50.0, None, 60.0), ("a", 1, 4, None, 900.0, 70.0), ("c", 2, 9, 10.0, 20.0, 30.0)], "session_id string, depth int, token_count int, earliest_at double, latest_at double, created_at double")
+    stats = store.cleanup_stats(m, n)
+    got = {r.session_id: (r.n_messages, r.message_tokens, r.n_nodes, r.node_tokens) for r in stats.collect()}
+    assert got == {"a": (2, 11, 2, 7), "b": (1, 7, 0, 0), "c": (0, 0, 1, 9)}
+    kept = {r.session_id: (r.n_messages, r.n_nodes, r.footprint, r.first_at, r.last_at) for r in store.retention_stats(m, n, 86400.0).collect()}
+    assert kept == {"a": (2, 2, 18, 50.0, 900.0), "b": (1, 0, 7, 300.0, 300.0), "c": (0, 1, 9, 10.0, 20.0)}
+    assert {r.session_id: r["class"] for r in diagnostics.cleanup_candidates(stats, [], ["a"]).collect()} == {"a": "protected", "b": "kept", "c": "empty"}
