@@ -365,7 +365,7 @@ def knn_filtered(spark, d):
 @query(sql("SELECT query_id, row_id, place FROM (SELECT q.row_id AS query_id, v.row_id, cast(row_number() OVER (PARTITION BY q.row_id ORDER BY list_dot_product(v.u, q.u) DESC, v.row_id DESC) AS INT) AS place FROM v, v q WHERE q.row_id < 10) WHERE place <= 10", V))
 def knn_batch(spark, d):
     v = src.vectors(spark, d)
-    return vector.knn_batch(v, v.filter("row_id < 10").withColumnRenamed("row_id", "query_id"), 10, 64).select("query_id", "row_id", "place")
+    return vector.knn_batch(v, v.filter("row_id % 100 = 0").withColumnRenamed("row_id", "query_id"), 10, 64).select("query_id", "row_id", "place")
 
 
 @query()

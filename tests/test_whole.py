@@ -69,12 +69,14 @@ def test_documents_of_hot_users(spark, tmp_path):
     assert max(map(len, users.values())) > 700 and got == want
 
 
-@pytest.mark.parametrize("name", ["cleanup_scan", "retention_scan", "cleanup_candidates", "invalidated_periods", "stale_rollups", "stated_numbers"])
+@pytest.mark.parametrize("name", ["cleanup_scan", "retention_scan", "cleanup_candidates", "invalidated_periods", "stale_rollups", "stated_numbers", "knn_batch", "recall_at_k", "ndcg_at_k"])
 def test_whole_tables(spark, name):
-    """The query against its SQL without the filters that leave nodes, events and names out."""
+    """The query against its SQL without the filters that leave nodes, events and names out, and with every id divisible by 100 asked for."""
     asked = catalog.ORACLE[name]
     for cut in (" WHERE depth = 0 AND node_id % 3 > 0", " AND event_id % 50 = 0", " WHERE NOT regexp_matches(p_name, '[0-9#]')"):
         asked = asked.replace(cut, "")
+    for few in ("q.row_id < 10", "q.row_id < 20"):
+        asked = asked.replace(few, "q.row_id % 100 = 0")
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
@@ -102,3 +104,13 @@ def test_one_sided_sessions(spark):
     kept = {r.session_id: (r.n_messages, r.n_nodes, r.footprint, r.first_at, r.last_at) for r in store.retention_stats(m, n, 86400.0).collect()}
     assert kept == {"a": (2, 2, 18, 50.0, 900.0), "b": (1, 0, 7, 300.0, 300.0), "c": (0, 1, 9, 10.0, 20.0)}
     assert {r.session_id: r["class"] for r in diagnostics.cleanup_candidates(stats, [], ["a"]).collect()} == {"a": "protected", "b": "kept", "c": "empty"}
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    """More queries than a block holds give the same as one block."""
+    v = src.vectors(spark, SF)
+    q = v.filter("row_id % 50 = 0").withColumnRenamed("row_id", "query_id")
+    rows = lambda: sorted(map(tuple, vector.knn_batch(v, q, 10, 64).select("query_id", "place", "row_id").collect()))
+    want = rows()
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    assert len(want) == 100 and rows() == want
