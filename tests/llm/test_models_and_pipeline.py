@@ -10,7 +10,7 @@ from skein.llm import queries
 from skein.llm.lang_id import identify_language, train_language
 from skein.llm.near_dedup import near_dedup
 from skein.llm.quality import LineField, line_features, marginals, score_quality, train_quality
-from skein.llm.sentencepiece_codec import MODEL, Model, build_tokenizer, decode, encode, load, merges_of, own_library, parse_model
+from skein.llm.sentencepiece_codec import MODEL, Model, build_tokenizer, codec_report, decode, encode, load, merges_of, own_library, parse_model
 from test_near_and_benchmark import classes, leaks
 
 SF = "/root/testdata/sf0.01"
@@ -78,7 +78,13 @@ def test_codec(spark, odd):
         assert all(r.ids == own_library(MODEL).encode(r.text or "") for r in rows)
     hard = ["a▁b", "  ", " x  y   ", "\n\n \t", "🙂" * 20, "<s>", " " * 33 + "z" + " " * 7, "ÀÀÀ ßß", "1" * 50, "\u0000�"]
     table = spark.createDataFrame(list(enumerate(hard * 3)), "doc_id long, text string")
-    assert all(r.parity for r in encode(table, parity=True).collect())
+    got = encode(table, parity=True, round_trip=True).collect()
+    assert all(r.parity for r in got)
+    assert {r.doc_id: r.round_trip for r in got} == {r.doc_id: r.decoded == r.text for r in decode(encode(table)).collect()}
+    assert {r.text for r in got if not r.round_trip} == {"a▁b"}  # the marker comes back as a space
+    unnamed = spark.createDataFrame([(None, "a b", 7), (None, "a b", 7), (1, None, 7)], "doc_id long, text string, parity int")
+    assert [(r.n_tokens, r.parity, r.round_trip) for r in codec_report(unnamed).collect()] == [(2, True, True), (2, True, True), (0, True, True)]
+    assert codec_report(unnamed.limit(0)).count() == encode(unnamed.limit(0)).count() == decode(encode(unnamed.limit(0))).count() == 0
     assert decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")).select("decoded").distinct().collect() == [("",)]
 
 
@@ -116,7 +122,7 @@ def test_stages(spark):
     assert clean == {d for d, x in leaks({d: r.text for d, r in texts.items()}, items).items() if not x[4]}
     good = names[0](spark, docs, "/root/testdata/sf0.001")
     assert good.columns == corpus_pipeline.COLUMNS and 0 < good.count() < docs.count()
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_tokens", "ids"]
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").columns == ["doc_id", "n_tokens", "ids", "round_trip"]
     bad = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0)], lines.schema)
     for f in names[1:]:
         assert f(spark, bad, SF).count() == 2
@@ -124,8 +130,8 @@ def test_stages(spark):
 
 def test_any_ids_decode_as_in_the_library():
     codec, rng = load(MODEL), np.random.default_rng(4)
-    n = len(codec.bytes)
+    n = len(codec.pieces)
     for _ in range(3000):
         size = int(rng.integers(0, 12))
         ids = np.where(rng.random(size) < 0.5, rng.integers(3, 259, size), rng.integers(0, n, size)).astype(np.int32)
-        assert codec.decode([ids]) == [codec.tokenizer.decode(ids.tolist(), skip_special_tokens=False)]
+        assert codec.decode(ids, np.array([0, size])) == [codec.tokenizer.decode(ids.tolist(), skip_special_tokens=False)]
