@@ -6,9 +6,16 @@ import math
 import re
 from dataclasses import dataclass, field
 from datetime import UTC, date, datetime, timedelta
+from itertools import zip_longest
 
+# Results depend on these words and signs as they stand.
 BOOLEAN = {"and", "or", "not", "near"}
-STOP = set("a an and are as at be by for from has in is it its of on or that the to was were will with".split())
+STOP = set(
+    "a an and are as at be before did do does for from happen happened how i in is it of on or should the then to was were what when where which who why with would".split()
+)
+EDGES = "\"'()[]{}.,;"
+NUMBERS = "one two three four five six seven eight nine ten".split()
+WIDE = ((0x2600, 0x27BF), (0x3000, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7AF), (0xFF00, 0xFFEF), (0x1F300, 0x1FAFF))
 SORTS = ("recency", "relevance", "hybrid")
 DECAY_PER_HOUR = 0.001
 
@@ -20,44 +27,31 @@ def sort_mode(value: object) -> str:
 
 
 def sanitize(query: str) -> str:
-    """Without the signs that full-text syntax would read, but for balanced quotes."""
-    quotes = query.count('"')
-    kept, inside = [], False
-    for c in query:
-        if c == '"':
-            inside = not inside if quotes % 2 == 0 else False
-            kept.append(c if quotes % 2 == 0 else " ")
-        elif not inside and c in "()*^-:{}.":
-            kept.append(" ")
-        else:
-            kept.append(c)
-    return re.sub(r"\s+", " ", "".join(kept)).strip()
+    """Without the signs that full-text syntax would read; phrases in a pair of quotes stay as they are, a quote without its pair goes."""
+    parts = re.split(r'("[^"]*")', query)  # phrases stand at the odd places
+    plain = (re.sub(r"\s+", " ", re.sub(r'["()*^:{}.-]', " ", x)).strip() for x in parts[::2])
+    return " ".join(x for pair in zip_longest(plain, parts[1::2], fillvalue="") for x in pair if x)
 
 
 def needs_substring(query: str) -> bool:
-    """Whether words as indexed can't answer a query: scripts without spaces, pictographs, joined words, an odd quote."""
-    wide = any(0x3040 <= ord(c) <= 0x30FF or 0x3400 <= ord(c) <= 0x9FFF or 0xAC00 <= ord(c) <= 0xD7AF or 0x1F000 <= ord(c) <= 0x1FAFF or 0x2600 <= ord(c) <= 0x27BF for c in query)
-    return wide or bool(re.search(r"\w[-:/]\w", query)) or query.count('"') % 2 == 1
+    """Whether words as indexed can't answer a query: scripts without spaces, pictographs, joined words outside of phrases, an odd quote."""
+    wide = any(a <= ord(c) <= b for c in query for a, b in WIDE)
+    return wide or query.count('"') % 2 == 1 or bool(re.search(r"[A-Za-z0-9][-:/][A-Za-z0-9]", re.sub(r'"[^"]+"', " ", query)))
 
 
 def phrases_of(query: str) -> list[str]:
-    return list(dict.fromkeys(p.strip() for p in re.findall(r'"([^"]+)"', query) if p.strip()))
+    return [p.strip() for p in re.findall(r'"([^"]+)"', query) if p.strip()]
 
 
 def terms_of(query: str) -> list[str]:
-    """Quoted phrases, then words and the parts of joined words, without boolean words, each once."""
-    found, seen = [], set()
-    rest = re.sub(r'"([^"]*)"', " ", query).replace('"', " ")
-    words = []
-    for token in rest.split():
-        token = token.strip("()*^{}.,;:!?")
-        words += [token, *(x for x in re.split(r"[-:/]", token) if x != token)]
-    for term in [*phrases_of(query), *words]:
-        low = term.lower()
-        if term and low not in BOOLEAN and low not in seen:
-            seen.add(low)
-            found.append(term)
-    return found
+    """Quoted phrases, then words and the parts of joined words, without boolean words, each once; if that leaves none, the query itself."""
+    found = phrases_of(query)
+    for token in re.sub(r'"[^"]+"', " ", query).split():
+        word = token.strip(EDGES)
+        if word and word.lower() not in BOOLEAN:
+            parts = [x for x in re.split(r"[-:/]+", word) if x]
+            found += [word, *(parts if len(parts) > 1 else [])]
+    return list(dict.fromkeys(found or [x for x in [query.strip().strip(EDGES)] if x]))
 
 
 def is_precise(terms: list[str], phrases: list[str]) -> bool:
@@ -66,9 +60,9 @@ def is_precise(terms: list[str], phrases: list[str]) -> bool:
 
 
 def any_terms(query: str, most: int = 16) -> list[str]:
-    """Folded words of two letters and more that are no stop words, each once; to be joined by OR."""
-    words = (w.casefold() for w in re.findall(r"\w+", query))
-    return list(dict.fromkeys(w for w in words if len(w) > 1 and w not in STOP))[:most]
+    """Folded phrases and words of two signs and more, with a letter or digit, that are no stop words, each once; to be joined by OR."""
+    terms = (t.casefold().strip() for t in terms_of(query))
+    return list(dict.fromkeys(t for t in terms if len(t) > 1 and t not in STOP and any(c.isalnum() for c in t)))[:most]
 
 
 @dataclass(frozen=True)
@@ -166,14 +160,17 @@ def whole_months(a: date, b: date) -> int:
 
 
 def relative_window(question: str, today: date) -> tuple[date, date] | None:
-    """[start, end) of `N days/weeks/months ago`, yesterday, last weekday, last week or last month; null without one of them."""
-    q = question.lower()
+    """[start, end) of `N days/weeks/months ago` (N in digits or up to ten in words), yesterday, last weekday, last week or last month; null without one of them."""
+    q = question.casefold()
     days = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
-    if m := re.search(r"\b(\d+)\s+(day|week|month)s?\s+ago\b", q):
-        n = int(m[1])
-        day = months_before(today, n) if m[2] == "month" else today - timedelta(days=n * (7 if m[2] == "week" else 1))
-        return day, day + timedelta(days=1)
-    if "yesterday" in q:
+    if m := re.search(rf"\b(\d+|{'|'.join(NUMBERS)})\s+(day|week|month)s?\s+ago\b", q):
+        n = NUMBERS.index(m[1]) + 1 if m[1] in NUMBERS else int(m[1])
+        try:
+            day = months_before(today, n) if m[2] == "month" else today - timedelta(days=n * (7 if m[2] == "week" else 1))
+            return day, day + timedelta(days=1)
+        except (OverflowError, ValueError):
+            return None
+    if re.search(r"\byesterday\b", q):
         return today - timedelta(days=1), today
     if m := re.search(rf"\blast\s+({'|'.join(days)})\b", q):
         day = today - timedelta(days=(today.weekday() - days.index(m[1])) % 7 or 7)

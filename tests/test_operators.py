@@ -1,5 +1,6 @@
 """Folds, state and edge cases that SQL on the shipped tables doesn't reach."""
 
+import hashlib
 import json
 import random
 import uuid
@@ -14,7 +15,7 @@ from skein.operators import compute as Q
 from skein.operators import dag, diagnostics, fusion, lexical, rollup, store, trajectory, vector
 from skein.sources import tables as src
 from skein.streaming import events as streams
-from test_planning import HOSTILE
+from test_planning import hostile_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,13 +99,21 @@ def test_secrets_and_payloads(spark):
     texts = ["api_key = 'abcdefghijkl1234'", "Authorization: Bearer abcdefghijklmnop", 'password: "hunter22"', "-----BEGIN PRIVATE KEY-----\nabc\n-----END PRIVATE KEY-----", "api_key = short", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("r", T.redact(F.col("t")))
     out = {r.i: r.r for r in df.collect()}
-    assert out[0] == "api_key = '[redacted: name=api_key]'" and out[1].endswith("Bearer [redacted: name=bearer_token]") and "hunter22" not in out[2] and out[3] == "[redacted: name=private_key]" and out[4] == texts[4] and out[5] is None
+    mark = lambda name, x: f"[redacted: name={name}; chars={len(x)}; bytes={len(x.encode())}" + ("" if name == "password_assignment" else f"; sha256={hashlib.sha256(x.encode()).hexdigest()[:16]}") + "]"
+    assert out[0] == f"api_key = '{mark('api_key', 'abcdefghijkl1234')}'" and out[1].endswith("Bearer " + mark("bearer_token", "abcdefghijklmnop")) and out[2] == f'password: "{mark("password_assignment", "hunter22")}"'
+    assert out[3] == mark("private_key", texts[3]) and out[4] == texts[4] and out[5] is None
+    escaped = [('{\\"api_key\\": \\"abcdefghijkl1234\\"}', '{\\"api_key\\": \\"' + mark("api_key", "abcdefghijkl1234") + '\\"}'), ("pwd=hunter22é x pwd: 'a\"bcdefg'", f"pwd={mark('password_assignment', 'hunter22é')} x pwd: '" + mark("password_assignment", 'a"bcdefg') + "'")]
+    assert [r.r for r in spark.createDataFrame(escaped, "t string, want string").select(T.redact(F.col("t")).alias("r")).collect()] == [w for _, w in escaped]
     digest = df.filter("i = 0").select(T.secret_digests(F.col("t"), "api_key")[0].alias("d")).first().d
     assert (digest.chars, digest.bytes, len(digest.sha256)) == (16, 16, 16)
     alphabet = "ABCDefgh0123+/zz"
-    cases = [("data:image/png;base64," + "A" * 256, True, False), ("data:image/png;base64," + "A" * 255, False, False), (alphabet * 256, False, True), (alphabet * 255, False, False), ("0123456789abcdef" * 300, False, False), ("\n".join([alphabet * 4] * 70), False, True)]
+    cases = [("data:image/png;base64," + "A" * 256, True, False), ("data:image/png;base64," + "A" * 255, False, False), ("data:text/plain;charset=utf-8;base64," + "A" * 256, True, False), ("data:image\\/png;base64," + "A" * 300 + "\"", True, False), ("data:;base64," + "A" * 256 + "/x", True, False), (alphabet * 256, False, True), (alphabet * 255, False, False), ("0123456789abcdef" * 300, False, False), ("\n".join([alphabet * 4] * 70), False, True)]
     flags = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string").select("i", T.has_data_uri(F.col("t")).alias("u"), T.has_base64(F.col("t")).alias("b")).collect()
     assert [(r.u, r.b) for r in sorted(flags)] == [c[1:] for c in cases]
+    noise = spark.createDataFrame([(x,) for x in ("Heartbeat  ACK", "[acknowledged]", "`pong`", " ", "ok", "done", "**")], "t string").select(T.is_noise(F.col("t")).alias("n"))
+    assert column(noise, "n") == [True, True, True, True, False, False, False]
+    common = " ".join(w for i in range(10000) for w in (f"w{i % 200}", f"w{(i * 7) % 200}", f"w{(i * 3) % 200}", f"w{(i * 9) % 200}", "said"))
+    assert spark.createDataFrame([(common,)], "t string").select(T.quarantine_reason(F.col("t")).alias("q")).first().q == "high_repetition"
     loop, varied = "the same words again. " * 4000, " ".join(f"w{i}" for i in range(20000))
     q = spark.createDataFrame([(0, loop), (1, varied), (2, "z" * 70000), (3, "short")], "i int, t string").select("i", T.quarantine_reason(F.col("t")).alias("q")).collect()
     assert [r.q for r in sorted(q)] == ["high_repetition", None, "high_repetition", None]
@@ -125,7 +134,7 @@ def test_directness_of_phrases(spark):
 @pytest.mark.parametrize("sort", ["recency", "relevance", "hybrid", "nonsense"])
 def test_search_takes_anything(spark, sort):
     m = src.messages(spark, SF)
-    for q in HOSTILE:
+    for q in hostile_queries(12):
         assert lexical.search(m, q, sort=sort, limit=3, now=1.0).count() <= 3
 
 
