@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.sources.tables import edges
+from skein.sources.tables import edges, shared_dir
 
 
 def depth_stats(nodes: DataFrame, *by: str) -> DataFrame:
@@ -54,7 +54,7 @@ def lineage(nodes: DataFrame, roots: DataFrame, max_levels: int = 64) -> DataFra
 
     spark = nodes.sparkSession
     step = edges(nodes).filter("child_type = 'nodes'").select(F.col("parent").alias("node_id"), "child")
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/lineage-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/lineage-{uuid.uuid4().hex}"
     roots.select(F.col("node_id").alias("root"), "node_id", F.lit(0).alias("level")).distinct().write.parquet(f"{base}/level=0")
     schema = "root long, node_id long, level int"
     for level in range(1, max_levels + 1):

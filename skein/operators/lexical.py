@@ -98,13 +98,13 @@ def search(messages: DataFrame, query: str, *, sort: str = "recency", limit: int
     return out.withColumns({"rank": F.round("rank", 9), "snippet": snippet(F.col("content"), terms)}).orderBy(*ordering(sort, now)).limit(limit)
 
 
-def substring_search(messages: DataFrame, terms: list[str], *, sort: str = "relevance", limit: int = 20, now: float = 0.0, binary: bool = False) -> DataFrame:
-    """Messages that hold any term as a substring; the score counts occurrences, or terms held if `binary`; rank is its negative."""
+def substring_search(messages: DataFrame, terms: list[str], *, sort: str = "relevance", limit: int | None = 20, now: float = 0.0, binary: bool = False) -> DataFrame:
+    """Messages that hold any term as a substring; the score counts occurrences, or terms held if `binary`; rank is its negative. Without a limit, all of them in no order."""
     counts = [occurrences(F.col("content"), t) for t in terms]
     score = sum(((F.least(c, F.lit(1)) if binary else c) for c in counts), F.lit(0))
     rows = messages.withColumn("score", score).filter(F.col("score") > 0)
     rows = rows.withColumns({"rank": -F.col("score").cast("double"), "snippet": snippet(F.col("content"), terms)})
-    return rows.orderBy(*ordering(sort, now)).limit(limit)
+    return rows if limit is None else rows.orderBy(*ordering(sort, now)).limit(limit)
 
 
 def merge_hits(messages: DataFrame, nodes: DataFrame, payloads: DataFrame | None, *, sort: str, limit: int, now: float) -> DataFrame:

@@ -53,20 +53,22 @@ def candidates(vectors: DataFrame, where: Column | None = None, bound: int | Non
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, where: Column | None = None, bound: int | None = CANDIDATES) -> DataFrame:
-    """The k nearest by cosine (row_id, score, coverage), ties by the newer row."""
+    """The k nearest by cosine (row_id, score, coverage), ties by the newer row; coverage is `bounded` only if rows were left out."""
     dim, q = len(query), F.array(*(F.lit(float(x)) for x in query))
     rows = candidates(vectors, where, bound)
+    cut = bool(bound) and candidates(vectors, where, None).limit(bound + 1).count() > bound
     scored = rows.select("row_id", dot(normalized(F.col("embedding"), dim), normalized(q, dim)).alias("score")).filter(F.col("score").isNotNull())
-    return scored.orderBy(F.desc("score"), F.desc("row_id")).limit(k).withColumn("coverage", F.lit("bounded" if bound else "full"))
+    return scored.orderBy(F.desc("score"), F.desc("row_id")).limit(k).withColumn("coverage", F.lit("bounded" if cut else "full"))
 
 
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
-    """(query_id, row_id, score, place) of the k nearest of every query vector against all rows.
+    """(query_id, row_id, score, place) of the k nearest of every query vector against all rows that aren't archived.
 
     Queries are a stated set; they go to all executors in blocks of QUERY_BLOCK,
-    and each partition keeps k rows of a query before the shuffle.
+    and each partition keeps k rows of a query before the shuffle: a pass makes
+    rows * QUERY_BLOCK scores and shuffles partitions * QUERY_BLOCK * k of them.
     """
-    unit = vectors.select("row_id", normalized(F.col("embedding"), dim).alias("v")).filter(F.col("v").isNotNull())
+    unit = candidates(vectors, None, None).select("row_id", normalized(F.col("embedding"), dim).alias("v")).filter(F.col("v").isNotNull())
     asked = queries.select("query_id", normalized(F.col("embedding"), dim).alias("q")).filter(F.col("q").isNotNull())
     n = asked.count()
     blocks = -(-n // QUERY_BLOCK) if n else 1

@@ -83,7 +83,7 @@ def source_stats(spark, d):
     return store.source_stats(src.messages(spark, d))
 
 
-_CLEAN = "a AS (SELECT session_id, count(*) AS n_messages, sum(token_estimate) AS message_tokens, min(timestamp) AS m0, max(timestamp) AS m1 FROM m GROUP BY 1), b AS (SELECT session_id, count(*) AS n_nodes, sum(token_count) AS node_tokens, min(coalesce(earliest_at, created_at)) AS n0, max(coalesce(latest_at, created_at)) AS n1 FROM n WHERE depth = 0 AND node_id % 3 > 0 GROUP BY 1)"
+_CLEAN = "a AS (SELECT session_id, count(*) AS n_messages, sum(token_estimate) AS message_tokens, min(timestamp) AS m0, max(timestamp) AS m1 FROM m GROUP BY 1), b AS (SELECT session_id, count(*) AS n_nodes, sum(token_count) AS node_tokens, min(coalesce(earliest_at, created_at)) AS n0, max(coalesce(latest_at, created_at)) AS n1 FROM n GROUP BY 1)"
 
 
 @query(sql("SELECT session_id, coalesce(n_messages, 0) AS n_messages, coalesce(message_tokens, 0) AS message_tokens, coalesce(n_nodes, 0) AS n_nodes, coalesce(node_tokens, 0) AS node_tokens FROM a FULL JOIN b USING (session_id)", M, N, _CLEAN))
@@ -234,37 +234,77 @@ def directness_scores(spark, d):
     return src.messages(spark, d).select("store_id", F.round(T.message_directness(F.col("content"), F.col("role"), ["the", "und", "que"]), 6).alias("directness"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\b(token\s*=\s*"+'"'+r")([0-9a-f]{32,})', '\1[redacted: name=generic_token]', 'g'), '()([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', '\1[redacted: name=email]', 'g') AS text FROM documents")
+_KEPT = "'[redacted: name=' || name || '; chars=' || length(secret) || '; bytes=' || strlen(secret) || CASE WHEN name = 'password_assignment' THEN '' ELSE '; sha256=' || substr(sha256(secret), 1, 16) END || ']'"
+#: Documents with a secret of one of five kinds put behind the text: what comes before it, the secret, what comes behind, and its name.
+_PLANTED = """pl AS (SELECT doc_id, coalesce(text, '') AS text, CASE doc_id % 5 WHEN 0 THEN ' api_key = "' WHEN 1 THEN ' Authorization: bearer  ' WHEN 2 THEN ' PWD: ' || chr(39) WHEN 3 THEN ' key ' ELSE ' token: ' END AS head,
+    CASE doc_id % 5 WHEN 0 THEN sha256('k' || doc_id) WHEN 1 THEN 't.' || sha256('b' || doc_id) WHEN 2 THEN 'pass é' || doc_id WHEN 3 THEN '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || doc_id || chr(10) || '-----END RSA PRIVATE KEY-----' ELSE 'short' END AS secret,
+    CASE doc_id % 5 WHEN 0 THEN '" end' WHEN 2 THEN chr(39) || ' end' ELSE ' end' END AS tail, CASE doc_id % 5 WHEN 0 THEN 'api_key' WHEN 1 THEN 'bearer_token' WHEN 2 THEN 'password_assignment' WHEN 3 THEN 'private_key' END AS name FROM documents)"""
+
+
+def _planted(spark, d):
+    k, i = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    sha = lambda x: F.sha2(F.concat(F.lit(x), i), 256)
+    kinds = [
+        F.concat(F.lit(' api_key = "'), sha("k"), F.lit('" end')), F.concat(F.lit(" Authorization: bearer  t."), sha("b"), F.lit(" end")), F.concat(F.lit(" PWD: 'pass é"), i, F.lit("' end")),
+        F.concat(F.lit(" key -----BEGIN RSA PRIVATE KEY-----\n"), i, F.lit("\n-----END RSA PRIVATE KEY----- end")), F.lit(" token: short end"),
+    ]
+    return src.table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.get(F.array(*kinds), k.cast("int"))).alias("text"))
+
+
+@query(sql(f"SELECT doc_id, text || head || CASE WHEN name IS NULL THEN secret ELSE {_KEPT} END || tail AS text FROM pl", _PLANTED))
 def redacted_texts(spark, d):
-    return src.table(spark, d, "documents").select("doc_id", T.redact(F.col("text"), ["generic_token", "email"]).alias("text"))
+    return _planted(spark, d).select("doc_id", T.redact(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS n, coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda s: length(s))), 0) AS chars FROM documents")
+@query(sql("SELECT doc_id, name, length(secret) AS chars, strlen(secret) AS bytes, CASE WHEN name <> 'password_assignment' THEN substr(sha256(secret), 1, 16) END AS sha256 FROM pl WHERE name IS NOT NULL", _PLANTED))
 def secret_digests(spark, d):
-    s = T.secret_digests(F.col("text"), "email")
-    return src.table(spark, d, "documents").select("doc_id", F.size(s).alias("n"), F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("chars"))
+    found = F.flatten(F.array(*(F.transform(T.secret_digests(F.col("text"), n), _named(n)) for n in T.SECRETS)))
+    return _planted(spark, d).select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.name", "s.chars", "s.bytes", "s.sha256")
+
 
+def _named(name):
+    return lambda s: F.struct(F.lit(name).alias("name"), s["chars"].alias("chars"), s["bytes"].alias("bytes"), s["sha256"].alias("sha256"))
 
-@query(r"SELECT page_id, regexp_matches(html, 'data:[a-zA-Z0-9.+/-]+;base64,[A-Za-z0-9+/=]{256}') AS data_uri, regexp_matches(html, '[A-Za-z0-9+/=_-]{1000}[A-Za-z0-9+/=_-]{1000}[A-Za-z0-9+/=_-]{1000}[A-Za-z0-9+/=_-]{1000}[A-Za-z0-9+/=_-]{96}') AS base64 FROM pages")
+
+#: Parts as messages that do and don't carry data: the URI's length, parameters and escaped slashes, what follows it, and bare runs.
+_CARRIED = "CASE p_partkey % 8 WHEN 0 THEN 'data:image/png;base64,' || repeat('A', 256) WHEN 1 THEN 'data:image/png;base64,' || repeat('A', 255) WHEN 2 THEN 'DATA:text/plain;charset=utf-8;base64,' || repeat('Ab1+', 80) || '\"' WHEN 3 THEN '{\"u\": \"data:image\\/png;base64,' || repeat('A\\/', 128) || '\"}' WHEN 4 THEN repeat('ABCDefgh0123+/zz', 256) WHEN 5 THEN repeat('0123456789abcdef', 300) WHEN 6 THEN '=' || repeat('ABCDefgh0123+/zz', 255) ELSE p_name END"
+
+
+@query(f"SELECT p_partkey, p_partkey % 8 IN (0, 2, 3) AS data_uri, p_partkey % 8 = 4 AS base64 FROM (SELECT *, {_CARRIED} AS x FROM part)")
 def payload_flags(spark, d):
-    return src.table(spark, d, "pages").select("page_id", T.has_data_uri(F.col("html")).alias("data_uri"), T.has_base64(F.col("html")).alias("base64"))
+    x = F.expr(_CARRIED.replace("\\", "\\\\"))
+    return src.table(spark, d, "part").select("p_partkey", x.alias("x")).select("p_partkey", T.has_data_uri(F.col("x")).alias("data_uri"), T.has_base64(F.col("x")).alias("base64"))
 
 
-@query(r"""SELECT p_partkey, trim(lower(regexp_replace(x, '\s+', ' ', 'g')), '`*_ []') IN ('ok', 'done', 'noted', 'thanks', '') AS noise, regexp_matches(x, '(?i)^(still\s+working|processing)[.!…\s-]*$') AS heartbeat FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN '  **OK** ' WHEN 2 THEN 'Still  working...' WHEN 3 THEN '[done]' WHEN 4 THEN '' ELSE 'processing!' END AS x FROM part)""")
+@query("SELECT p_partkey, p_partkey % 10 IN (1, 2, 3, 4, 5) AS noise, p_partkey % 10 IN (6, 7) AS heartbeat FROM part")
 def noise_flags(spark, d):
-    k = F.col("p_partkey") % 6
-    x = F.when(k == 0, F.col("p_name")).when(k == 1, "  **OK** ").when(k == 2, "Still  working...").when(k == 3, "[done]").when(k == 4, "").otherwise("processing!")
+    said = ["ok", "  **ACK** ", "Heartbeat\n ack", "[acknowledged]", "", "`keep  alive`", "Still  working...", "processing!", "done", "still working on lunch"]
+    x = F.get(F.array(*map(F.lit, said)), (F.col("p_partkey") % 10).cast("int"))
     return src.table(spark, d, "part").select("p_partkey", T.is_noise(x).alias("noise"), T.is_heartbeat(F.lit("assistant"), x).alias("heartbeat"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, 'e', 'e', 'g'), '\\n{3,}', '\n\n', 'g') AS text FROM documents")
+@query("SELECT doc_id, regexp_replace(coalesce(text, ''), '\\n{3,}', chr(10) || chr(10), 'g') || CASE WHEN doc_id % 3 = 0 THEN ' [media] end' ELSE ' data:,plain' END AS text FROM documents")
 def stripped_media(spark, d):
-    return src.table(spark, d, "documents").select("doc_id", T.strip_media(F.col("text")).alias("text"))
+    x = F.when(F.col("doc_id") % 3 == 0, " data:image/png;base64,iVBORw0KGgo= end").otherwise(" data:,plain")
+    return src.table(spark, d, "documents").select("doc_id", T.strip_media(F.concat(F.coalesce("text", F.lit("")), x)).alias("text"))
+
+
+#: All documents, and for every tenth a long one made of it: the head said over and over, the head with numbered words between, or one sign.
+_LOOPS = """ld AS (SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id - 1, CASE doc_id % 3 WHEN 0 THEN repeat(substr(text, 1, 300) || '. ', 400) WHEN 1 THEN (SELECT string_agg('said so ' || (i % 150) || ' n' || i, ' ' ORDER BY i) FROM range(7000) r(i)) ELSE repeat('=-', 40000) END FROM documents WHERE doc_id % 10 = 0 AND length(text) > 0),
+lp AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS p, lower(text) AS t FROM ld WHERE length(text) >= 65536),
+lw AS (SELECT doc_id, p, regexp_extract_all(p, '[a-z0-9_]+') AS w, list_filter(list_transform(string_split_regex(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) >= 32) AS g FROM lp),
+lr AS (SELECT doc_id, length(p) AS chars, len(w) AS n, len(list_distinct(w)) / greatest(len(w), 1) AS u, len(list_distinct(string_split(p, ''))) AS signs, CASE WHEN len(w) = 0 THEN 0 ELSE list_max(map_values(list_histogram(w))) / len(w) END AS top,
+    CASE WHEN len(g) < 20 THEN 0 ELSE list_max(map_values(list_histogram(g))) / len(g) END AS seg, CASE WHEN len(g) < 20 THEN 0 ELSE 1 - len(list_distinct(g)) / len(g) END AS dup FROM lw)"""
 
 
-@query("SELECT doc_id, CASE WHEN length(text) < 65536 THEN NULL END AS reason FROM documents WHERE length(text) < 65536")
+@query(sql("SELECT doc_id, CASE WHEN (n < 1000 AND chars >= 65536 AND signs <= 12) OR (n >= 1000 AND ((u <= 0.03 AND (seg >= 0.1 OR dup >= 0.5 OR top >= 0.08)) OR (u <= 0.015 AND signs <= 64))) THEN 'high_repetition' END AS reason FROM ld LEFT JOIN lr USING (doc_id)", _LOOPS))
 def quarantine_reasons(spark, d):
-    return src.table(spark, d, "documents").select("doc_id", T.quarantine_reason(F.col("text")).alias("reason"))
+    docs = src.table(spark, d, "documents").select("doc_id", "text")
+    k = F.col("doc_id") % 3
+    numbered = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6999)), lambda i: F.concat(F.lit("said so "), (i % 150).cast("string"), F.lit(" n"), i.cast("string"))), " ")
+    loop = F.when(k == 0, F.repeat(F.concat(F.substring("text", 1, 300), F.lit(". ")), 400)).when(k == 1, numbered).otherwise(F.repeat(F.lit("=-"), 40000))
+    every = docs.unionByName(docs.filter((F.col("doc_id") % 10 == 0) & (F.length("text") > 0)).select((-F.col("doc_id") - 1).alias("doc_id"), loop.alias("text")))
+    return every.select("doc_id", T.quarantine_reason(F.col("text")).alias("reason"))
 
 
 @query(r"SELECT doc_id, CASE WHEN est <= 100 THEN text ELSE substr(text, 1, 195) || chr(10) || '...' || chr(10) || substr(text, length(text) - 194, 195) END AS text FROM (SELECT doc_id, text, " + S.estimate("text") + " AS est FROM documents)")
@@ -336,9 +376,9 @@ def payload_search(spark, d):
 
 @query(sql(f"SELECT kind, id, rank FROM (SELECT 'message' AS kind, store_id AS id, timestamp AS t, -{_LIKE} AS rank, role FROM m WHERE {_LIKE} > 0 UNION ALL SELECT 'summary', node_id, coalesce(latest_at, created_at), -{_LIKE.replace('content', 'summary')}, NULL FROM n WHERE {_LIKE.replace('content', 'summary')} > 0) ORDER BY rank, {_BIAS}, t DESC, id DESC, kind LIMIT 40", M, N))
 def merged_search(spark, d):
-    m = lexical.substring_search(src.messages(spark, d), ["the", "und"], limit=10**6).withColumn("directness", F.lit(0.0))
+    m = lexical.substring_search(src.messages(spark, d), ["the", "und"], limit=None).withColumn("directness", F.lit(0.0))
     n = src.nodes(spark, d).withColumn("content", F.col("summary")).withColumns({"role": F.lit("assistant"), "timestamp": F.coalesce("latest_at", "created_at"), "store_id": F.col("node_id")})
-    n = lexical.substring_search(n, ["the", "und"], limit=10**6).withColumn("directness", F.lit(0.0))
+    n = lexical.substring_search(n, ["the", "und"], limit=None).withColumn("directness", F.lit(0.0))
     return lexical.merge_hits(m, n, None, sort="relevance", limit=40, now=NOW).select("kind", "id", F.col("rank").cast("int").alias("rank"))
 
 
@@ -362,15 +402,15 @@ def knn_filtered(spark, d):
     return vector.knn(src.vectors(spark, d), _vector(spark, d), 20, where, 100).select("row_id", F.round("score", 6).alias("score"))
 
 
-@query(sql("SELECT query_id, row_id, place FROM (SELECT q.row_id AS query_id, v.row_id, cast(row_number() OVER (PARTITION BY q.row_id ORDER BY list_dot_product(v.u, q.u) DESC, v.row_id DESC) AS INT) AS place FROM v, v q WHERE q.row_id < 10) WHERE place <= 10", V))
+@query(sql("SELECT query_id, row_id, place FROM (SELECT q.row_id AS query_id, v.row_id, cast(row_number() OVER (PARTITION BY q.row_id ORDER BY list_dot_product(v.u, q.u) DESC, v.row_id DESC) AS INT) AS place FROM v, v q WHERE q.row_id % 100 = 0 AND NOT v.archived) WHERE place <= 10", V))
 def knn_batch(spark, d):
     v = src.vectors(spark, d)
     return vector.knn_batch(v, v.filter("row_id % 100 = 0").withColumnRenamed("row_id", "query_id"), 10, 64).select("query_id", "row_id", "place")
 
 
-@query()
+@query(sql(f"SELECT row_id, round(list_dot_product(u, {_Q}), 6) AS score, 'full_approx' AS coverage FROM v WHERE NOT archived ORDER BY list_dot_product(u, {_Q}) DESC, row_id DESC LIMIT 10", V))
 def knn_two_stage(spark, d):
-    return vector.knn_two_stage(src.vectors(spark, d), _vector(spark, d), 10)
+    return vector.knn_two_stage(src.vectors(spark, d), _vector(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
 @query(sql("SELECT row_id, round(list_max(list_transform(u, lambda x: abs(x))) / 127, 9) AS scale, true AS close FROM v", V))

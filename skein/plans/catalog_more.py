@@ -38,7 +38,7 @@ def node_time_windows(spark, d):
     return dag.time_window(src.nodes(spark, d), "session_id")
 
 
-@query(sql("SELECT node_id FROM n WHERE node_id NOT IN (SELECT child FROM e WHERE child_type = 'nodes')", M, N))
+@query(sql("SELECT node_id FROM n LEFT JOIN (SELECT DISTINCT child FROM e WHERE child_type = 'nodes') c ON c.child = n.node_id WHERE c.child IS NULL", M, N))
 def frontier(spark, d):
     return dag.unreferenced(src.nodes(spark, d)).select("node_id")
 
@@ -144,7 +144,7 @@ def rollup_gate(spark, d):
     return rollup.gate(_days(spark, d), "week")
 
 
-_SPANS = "sp AS (SELECT scope, epoch(min(ts)) AS a, epoch(max(ts)) AS b FROM ev WHERE event_type = 'error' AND event_id % 50 = 0 GROUP BY scope), sd AS (SELECT DISTINCT scope, unnest(generate_series(cast(to_timestamp(a) AT TIME ZONE 'UTC' AS DATE)::TIMESTAMP, cast(to_timestamp(b) AT TIME ZONE 'UTC' AS DATE)::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM sp)"
+_SPANS = "sp AS (SELECT scope, epoch(min(ts)) AS a, epoch(max(ts)) AS b FROM ev WHERE event_type = 'error' GROUP BY scope), sd AS (SELECT DISTINCT scope, unnest(generate_series(cast(to_timestamp(a) AT TIME ZONE 'UTC' AS DATE)::TIMESTAMP, cast(to_timestamp(b) AT TIME ZONE 'UTC' AS DATE)::TIMESTAMP, INTERVAL 1 DAY)) AS day FROM sp)"
 
 
 def _spans(spark, d):
@@ -209,7 +209,8 @@ def chunk_windows(spark, d):
     return C.chunk(docs)
 
 
-@query()
+@query(sql("SELECT session_id, store_id, c AS token_estimate, segment FROM f", M, "p AS (SELECT session_id, store_id, token_estimate AS c, row_number() OVER (PARTITION BY session_id ORDER BY store_id) AS i FROM m)", """f(session_id, i, store_id, c, used, segment) AS (SELECT session_id, i, store_id, c, c, 0 FROM p WHERE i = 1
+    UNION ALL SELECT p.session_id, p.i, p.store_id, p.c, CASE WHEN f.used + p.c > 400 THEN p.c ELSE f.used + p.c END, f.segment + CASE WHEN f.used + p.c > 400 THEN 1 ELSE 0 END FROM f JOIN p ON p.session_id = f.session_id AND p.i = f.i + 1)""", recursive=True))
 def leaf_chunks(spark, d):
     return C.fold_segments(src.messages(spark, d).select("session_id", "store_id", "token_estimate"), "session_id", "store_id", "token_estimate", 400)
 
@@ -224,17 +225,22 @@ def fresh_tail(spark, d):
     return C.fresh_tail(src.messages(spark, d), 3, 300).select("session_id", "store_id")
 
 
-@query()
+@query(sql("SELECT session_id, tier, depth, id, tokens FROM f WHERE keep", M, N, """q AS (SELECT session_id, 0 AS tier, 0 AS depth, store_id AS id, cast(token_estimate AS BIGINT) AS tokens FROM m QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY store_id DESC) <= 4 UNION ALL SELECT session_id, 1, depth, node_id, cast(token_count AS BIGINT) FROM n)""",
+    "p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY tier, depth DESC, id DESC) AS i FROM q)", """f(session_id, i, tier, depth, id, tokens, room, closed, keep) AS (SELECT session_id, i, tier, depth, id, tokens, 500 - CASE WHEN tokens <= 500 THEN tokens ELSE 0 END, tier = 0 AND tokens > 500, tokens <= 500 FROM p WHERE i = 1
+    UNION ALL SELECT p.session_id, p.i, p.tier, p.depth, p.id, p.tokens, f.room - CASE WHEN p.tokens <= f.room AND NOT (f.closed AND p.tier = 0) THEN p.tokens ELSE 0 END, f.closed OR (p.tier = 0 AND p.tokens > f.room), p.tokens <= f.room AND NOT (f.closed AND p.tier = 0) FROM f JOIN p ON p.session_id = f.session_id AND p.i = f.i + 1)""", recursive=True))
 def context_assembly(spark, d):
     return C.assemble(C.fresh_tail(src.messages(spark, d), 4), src.nodes(spark, d), 500)
 
 
-@query()
+@query(sql("SELECT conversation_id, store_id, c AS token_estimate, request FROM f", M, "p AS (SELECT conversation_id, store_id, token_estimate AS c, row_number() OVER (PARTITION BY conversation_id ORDER BY store_id) AS i FROM m)", """f(conversation_id, i, store_id, c, have, used, request) AS (SELECT conversation_id, i, store_id, c, 1, c, 0 FROM p WHERE i = 1
+    UNION ALL SELECT p.conversation_id, p.i, p.store_id, p.c, CASE WHEN f.have >= 8 OR f.used + p.c > 600 THEN 1 ELSE f.have + 1 END, CASE WHEN f.have >= 8 OR f.used + p.c > 600 THEN p.c ELSE f.used + p.c END, f.request + CASE WHEN f.have >= 8 OR f.used + p.c > 600 THEN 1 ELSE 0 END FROM f JOIN p ON p.conversation_id = f.conversation_id AND p.i = f.i + 1)""", recursive=True))
 def request_packing(spark, d):
-    return C.pack(src.messages(spark, d).select("source", "store_id", "token_estimate").na.fill("unknown"), "source", "store_id", "token_estimate", 8, 600)
+    return C.pack(src.messages(spark, d).select("conversation_id", "store_id", "token_estimate"), "conversation_id", "store_id", "token_estimate", 8, 600)
 
 
-@query()
+@query(sql("SELECT conversation_id, store_id, session_id, day FROM f WHERE keep", M, "p AS (SELECT conversation_id, store_id, session_id, strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY conversation_id ORDER BY store_id) AS i FROM m)", """f(conversation_id, i, store_id, session_id, day, ss, ds, keep) AS (SELECT conversation_id, i, store_id, session_id, day, [session_id], [day], true FROM p WHERE i = 1
+    UNION ALL SELECT conversation_id, i, store_id, session_id, day, CASE WHEN keep THEN list_append(ss, session_id) ELSE ss END, CASE WHEN keep THEN list_append(ds, day) ELSE ds END, keep
+    FROM (SELECT p.conversation_id, p.i, p.store_id, p.session_id, p.day, f.ss, f.ds, len(list_filter(f.ss, lambda x: x = p.session_id)) < 3 AND len(list_filter(f.ds, lambda x: x = p.day)) < 8 AS keep FROM f JOIN p ON p.conversation_id = f.conversation_id AND p.i = f.i + 1))""", recursive=True))
 def diverse_evidence(spark, d):
     m = src.messages(spark, d).select("conversation_id", "store_id", "session_id", F.date_format(F.timestamp_seconds("timestamp"), "yyyy-MM-dd").alias("day"))
     return C.diverse(m, "conversation_id", "store_id", "session_id", "day", 3, 8)
@@ -338,7 +344,7 @@ def grounded_operands(spark, d):
     return Q.ground(ops, m).select("p_partkey", "problem")
 
 
-@query("SELECT p_partkey, list_transform(regexp_extract_all(p_name || ' 12 and 3.5 or seven', '-?[0-9]+(?:\\.[0-9]+)?'), lambda x: cast(x AS DOUBLE)) || [7.0::DOUBLE] AS numbers FROM part WHERE NOT regexp_matches(p_name, '[0-9#]')")
+@query("SELECT p_partkey, list_transform(regexp_extract_all(p_name || ' 12 and 3.5 or seven', '-?[0-9]+(?:\\.[0-9]+)?'), lambda x: cast(x AS DOUBLE)) || [7.0::DOUBLE] AS numbers FROM part")
 def stated_numbers(spark, d):
     return src.table(spark, d, "part").select("p_partkey", Q.numbers_in(F.concat("p_name", F.lit(" 12 and 3.5 or seven"))).alias("numbers"))
 
@@ -376,9 +382,9 @@ def trajectory_digest(spark, d):
     return trajectory.digest(_states(spark, d), "user_id", ["ts", "event_id"], "event_id")
 
 
-@query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS m FROM events) SELECT user_id, string_agg(event_type, chr(10) ORDER BY ts, event_id) AS document, count(*) AS n_states FROM p WHERE m <= 200 GROUP BY 1")
+@query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS m FROM events) SELECT user_id, string_agg(event_type, chr(10) ORDER BY ts, event_id) AS document, count(*) AS n_states FROM p WHERE m <= 16 OR list_contains(list_transform(range(16), lambda j: cast(round_even(j * (m - 1) / 15.0, 0) AS BIGINT)), i) GROUP BY 1")
 def trajectory_documents(spark, d):
-    return trajectory.documents(_states(spark, d), "user_id", ["ts", "event_id"], "event_type", most=200)
+    return trajectory.documents(_states(spark, d), "user_id", ["ts", "event_id"], "event_type", most=16)
 
 
 def _lifecycle(spark, d):
@@ -426,7 +432,7 @@ def latency_percentiles(spark, d):
     return diagnostics.latency(src.table(spark, d, "events"), "value", "event_type")
 
 
-_HITS = "h AS (SELECT q.row_id AS query_id, v.row_id AS id, row_number() OVER (PARTITION BY q.row_id ORDER BY list_dot_product(v.u, q.u) DESC, v.row_id DESC) AS rank FROM v, v q WHERE q.row_id < 20), w AS (SELECT q.row_id AS query_id, v.row_id AS id, count(*) OVER (PARTITION BY q.row_id) AS n FROM v, v q WHERE q.row_id < 20 AND v.label = q.label)"
+_HITS = "h AS (SELECT q.row_id AS query_id, v.row_id AS id, row_number() OVER (PARTITION BY q.row_id ORDER BY list_dot_product(v.u, q.u) DESC, v.row_id DESC) AS rank FROM v, v q WHERE q.row_id % 100 = 0 AND NOT v.archived), w AS (SELECT q.row_id AS query_id, v.row_id AS id, count(*) OVER (PARTITION BY q.row_id) AS n FROM v, v q WHERE q.row_id % 100 = 0 AND v.label = q.label)"
 
 
 def _labelled(spark, d):
@@ -463,7 +469,7 @@ def payload_risks(spark, d):
 
 
 def _checkpoint(spark, name):
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
+    return f"{src.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _drained(spark, d, f, mode):
