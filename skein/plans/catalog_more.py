@@ -382,9 +382,9 @@ def trajectory_digest(spark, d):
     return trajectory.digest(_states(spark, d), "user_id", ["ts", "event_id"], "event_id")
 
 
-@query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS m FROM events) SELECT user_id, string_agg(event_type, chr(10) ORDER BY ts, event_id) AS document, count(*) AS n_states FROM p WHERE m <= 16 OR list_contains(list_transform(range(16), lambda j: cast(round_even(j * (m - 1) / 15.0, 0) AS BIGINT)), i) GROUP BY 1")
+@query("WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS m FROM events) SELECT user_id, string_agg(event_type, chr(10) ORDER BY ts, event_id) AS document, count(*) AS n_states FROM p WHERE m <= 64 OR list_contains(list_transform(range(64), lambda j: cast(round_even(j * (m - 1) / 63.0, 0) AS BIGINT)), i) GROUP BY 1")
 def trajectory_documents(spark, d):
-    return trajectory.documents(_states(spark, d), "user_id", ["ts", "event_id"], "event_type", most=16)
+    return trajectory.documents(_states(spark, d), "user_id", ["ts", "event_id"], "event_type")
 
 
 def _lifecycle(spark, d):

