@@ -11,7 +11,7 @@ from skein.functions import text as T
 from skein.operators import assertions as A
 from skein.operators import chunk as C
 from skein.operators import compute as Q
-from skein.operators import dag, diagnostics, fusion, lexical, rollup, store, trajectory, vector
+from skein.operators import dag, diagnostics, fusion, grep, index, lexical, rollup, store, trajectory, vector
 from skein.plans import catalog_sql as S
 from skein.plans.catalog_sql import M, N, R, V, sql
 from skein.sources import tables as src
@@ -336,8 +336,17 @@ def bm25_scores(spark, d):
 _AND = "list_contains(w, 'that') AND list_contains(w, 'for')"
 
 
+def _indexed(spark, d):
+    """The messages' word index: built at the first search over a table, read by all others."""
+    return index.current(src.messages(spark, d), "store_id", "content", "messages")
+
+
+def _node_indexed(spark, d):
+    return index.current(src.nodes(spark, d).select("node_id", "summary"), "node_id", "summary", "nodes")
+
+
 def _ranked(spark, d, query_, sort):
-    return lexical.search(src.messages(spark, d), query_, sort=sort, limit=30, now=NOW)
+    return index.search(src.messages(spark, d), _indexed(spark, d), query_, sort=sort, limit=30, now=NOW)
 
 
 @query(sql(f"SELECT store_id, round(round(rank, 9), 6) AS rank FROM hits ORDER BY round(rank, 9), {_BIAS}, timestamp DESC, store_id DESC LIMIT 30", M, S.bm25(["that", "for"], _AND)))
@@ -382,6 +391,37 @@ def merged_search(spark, d):
     return lexical.merge_hits(m, n, None, sort="relevance", limit=40, now=NOW).select("kind", "id", F.col("rank").cast("int").alias("rank"))
 
 
+@query(sql("SELECT term, count(*) AS n_rows, sum(tf) AS n_words, sum(ps) AS places FROM (SELECT store_id, term, count(*) AS tf, sum(i) AS ps FROM (SELECT store_id, unnest(w) AS term, unnest(range(len(w))) AS i FROM (SELECT store_id, " + S.WORDS.format("content") + " AS w FROM m)) GROUP BY ALL) WHERE term IN ('that', 'for', 'und', 'zzz') GROUP BY 1", M))
+def index_postings(spark, d):
+    p = _indexed(spark, d).postings(spark, ["That", "for", "und", "zzz"])
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("tf").alias("n_words"), F.sum(F.aggregate("positions", F.lit(0).cast("long"), lambda a, x: a + x)).alias("places"))
+
+
+@query(sql("SELECT store_id FROM (SELECT store_id, ' ' || array_to_string(w, ' ') || ' ' AS t, w FROM (SELECT store_id, " + S.WORDS.format("content") + " AS w FROM m)) WHERE contains(t, ' of the ') AND list_contains(w, 'of') AND list_contains(w, 'the') AND NOT list_contains(w, 'that')", M))
+def index_phrases(spark, d):
+    return index.matching(_indexed(spark, d), spark, '"of the" NOT that').select(F.col("id").alias("store_id"))
+
+
+_NODE_ROWS = "nm AS (SELECT node_id AS store_id, session_id, summary AS content, coalesce(latest_at, created_at) AS timestamp FROM n)"
+
+
+@query(sql("SELECT store_id AS node_id, round(rank, 6) AS rank FROM hits ORDER BY round(rank, 9), timestamp DESC, store_id DESC LIMIT 30", M, N, _NODE_ROWS, S.bm25(["that", "for"], _AND).replace("FROM m)", "FROM nm)")))
+def node_search(spark, d):
+    return grep.search_nodes(src.nodes(spark, d), _node_indexed(spark, d), "that for", sort="relevance", limit=30, now=NOW).select("node_id", F.round("rank", 6).alias("rank"))
+
+
+@query(sql("SELECT count(*) AS n, min(store_id) AS first_, max(store_id) AS last_ FROM nm JOIN (SELECT DISTINCT w.root AS store_id FROM w JOIN e ON e.parent = w.node_id AND e.child_type = 'messages' JOIN m ON m.store_id = e.child WHERE m.source = 'src2') x USING (store_id) WHERE list_contains(" + S.WORDS.format("content") + ", 'the')", M, N, _NODE_ROWS, "w(root, node_id) AS (SELECT node_id, node_id FROM n UNION ALL SELECT w.root, e.child FROM w JOIN e ON e.parent = w.node_id AND e.child_type = 'nodes')", recursive=True))
+def node_search_of_source(spark, d):
+    found = grep.search_nodes(src.nodes(spark, d), _node_indexed(spark, d), "the", messages=src.messages(spark, d), source=F.col("source") == "src2", limit=2**31 - 1)
+    return found.agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_"), F.max("node_id").alias("last_"))
+
+
+@query(sql(f"SELECT kind, id, round(rank, 6) AS rank FROM (SELECT 'message' AS kind, store_id AS id, round(rank, 9) AS rank, timestamp AS t, role FROM hits UNION ALL SELECT 'summary', store_id, round(rank, 9), timestamp, NULL FROM nhits) ORDER BY round(rank, 9), {_BIAS}, t DESC, id DESC, kind LIMIT 30", M, N, _NODE_ROWS, S.bm25(["that", "for"], _AND), S.bm25(["that", "for"], _AND).replace("FROM m)", "FROM nm)").replace("tf AS (", "ntf AS (").replace("FROM tf", "FROM ntf").replace(" st AS", " nst AS").replace(", st WHERE", ", nst WHERE").replace("hits AS", "nhits AS").replace("tf.*", "ntf.*")))
+def grep_full_text(spark, d):
+    hits = grep.full_text(src.messages(spark, d), src.nodes(spark, d), _indexed(spark, d), _node_indexed(spark, d), "that for", sort="relevance", limit=30, now=NOW)
+    return hits.select("kind", "id", F.round("rank", 6).alias("rank"))
+
+
 # --- vectors and fusion ----------------------------------------------------
 
 _Q = "(SELECT u FROM v WHERE row_id = 3)"
@@ -446,7 +486,7 @@ def _place(df, id_col, space, *order):
 
 def _arms(spark, d):
     v, q = src.vectors(spark, d), _vector(spark, d)
-    f = lexical.search(src.messages(spark, d), "that for", sort="relevance", limit=50, now=NOW)
+    f = index.search(src.messages(spark, d), _indexed(spark, d), "that for", sort="relevance", limit=50, now=NOW)
     f = _place(f, "store_id", "message", *lexical.ordering("relevance", NOW))
     k = vector.knn(v, q, 50, bound=None).join(v.select("row_id", "store_id"), "row_id")
     s = vector.knn(v, q, 50, F.col("row_id") % 4 == 0, None)
@@ -467,6 +507,18 @@ def rrf_weighted_three_arm(spark, d):
     return fusion.rrf(list(_arms(spark, d)), [0.5, 1.0, float("nan")]).select("id_space", "id", F.round("score", 9).alias("score"))
 
 
+@query(sql(f"SELECT v.store_id, m.role, round(score, 6) AS score, cast(place AS INT) AS place FROM (SELECT store_id, row_number() OVER (ORDER BY list_dot_product(u, {_Q}) DESC, row_id DESC) AS place, list_dot_product(u, {_Q}) AS score FROM v WHERE NOT archived) v JOIN m USING (store_id) WHERE place <= 15", M, V))
+def grep_semantic(spark, d):
+    return grep.semantic(src.vectors(spark, d), src.messages(spark, d), _vector(spark, d), 15).select("store_id", "role", F.round("score", 6).alias("score"), "place")
+
+
+@query(sql("SELECT 'message' AS kind, id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT id, rank FROM f WHERE rank <= 60 UNION ALL SELECT id, row_number() OVER (ORDER BY rank) AS rank FROM k JOIN m ON m.store_id = k.id WHERE rank <= 60) GROUP BY id ORDER BY sum(1 / (60 + rank)) DESC, min(rank) LIMIT 20", M, V, S.bm25(["that", "for"], _AND), _ARMS))
+def grep_hybrid(spark, d):
+    m = src.messages(spark, d)
+    hits = grep.grep("hybrid", messages=m, nodes=src.nodes(spark, d), vectors=src.vectors(spark, d), message_index=_indexed(spark, d), node_index=_node_indexed(spark, d), query="that for", embedding=_vector(spark, d), now=NOW)
+    return hits.select("kind", "id", F.round("score", 9).alias("score"))
+
+
 _RECALL = f"x AS (SELECT id AS store_id, m.session_id, round(score * (1 + CASE WHEN m.session_id IN ('c1', 'c2') THEN 0.5 ELSE 0 END) * greatest(0.5, pow(2, -({NOW} - timestamp) / 2592000)), 9) AS score FROM r JOIN m ON r.id = m.store_id)"
 
 
