@@ -82,3 +82,34 @@ def fresh_views(views: DataFrame, dependencies: DataFrame, messages: DataFrame,
     holds = (F.sha2("content", 256) == F.col("sha256")) & (F.substring(F.col("content"), F.col("span_start") + 1, F.col("span_end") - F.col("span_start")) == F.col("quote"))
     broken = deps.filter(~F.coalesce(holds, F.lit(False))).select("view_id").distinct()
     return views.filter(F.col("expires_at") > now).join(broken, "view_id", "left_anti")
+
+
+def hybrid(states: DataFrame, hits: DataFrame, semantic: DataFrame, *, limit: int, candidates: int = 100, per_trajectory: int = 3, include_adjacent: bool = True) -> DataFrame:
+    """(state_id, score, kind, round): states found by words over all trajectories, and by words within those nearest in meaning, fused by reciprocal rank.
+
+    states: (state_id, trajectory_id, sequence); hits: (state_id, rank), all that
+    words find, smaller is better; semantic: (trajectory_id, position), the
+    nearest, few. A state found in both ways has three terms: its place among
+    all, its place within, its trajectory's position. Without near trajectories
+    words alone decide. A third of the places, six at most, is kept for
+    neighbours of what was chosen; round 0 is what was chosen itself.
+    """
+    found = hits.join(states, "state_id")
+    order = [F.col("rank"), F.col("trajectory_id"), F.col("sequence")]
+    first = found.orderBy(*order).limit(candidates).withColumn("all_", F.row_number().over(Window.orderBy(*order)))  # over a top list
+    near = found.join(F.broadcast(semantic), "trajectory_id").orderBy(*order).limit(candidates).withColumn("near_", F.row_number().over(Window.orderBy(*order)))
+    both = first.join(near.select("state_id", "near_", "position"), "state_id", "full")
+    both = both.select("state_id", "all_", "near_", "position").join(states, "state_id")
+    score = sum((F.coalesce(1 / (F.lit(60.0) + F.col(c)), F.lit(0.0)) for c in ("all_", "near_", "position")), F.lit(0.0))
+    both = both.withColumns({"score": score, "kind": F.when(F.col("near_").isNotNull(), "semantic_fts").otherwise("fts")})
+    best = [F.desc("score"), F.col("trajectory_id"), F.col("sequence")]
+    reserve = min(6, limit // 3) if include_adjacent else 0
+    capped = both.withColumn("_n", F.row_number().over(Window.partitionBy("trajectory_id").orderBy(*best))).filter(F.col("_n") <= per_trajectory).orderBy(*best).limit(max(1, limit - reserve))
+    nuclei = capped.select("state_id", "trajectory_id", "sequence", "score", "kind", F.row_number().over(Window.orderBy(*best)).alias("rank"))
+    if not include_adjacent:
+        return nuclei.select("state_id", "score", "kind", F.lit(0).alias("round"))
+    beside = nuclei.select("trajectory_id", F.col("state_id").alias("nucleus"), F.explode(F.array(F.col("sequence") - 1, F.col("sequence") + 1)).alias("sequence"))
+    beside = states.join(F.broadcast(beside), ["trajectory_id", "sequence"]).select(F.col("state_id").alias("id"), "nucleus")
+    filled = fill_adjacent(nuclei.select(F.col("state_id").alias("id"), "rank"), beside, limit)
+    rows = filled.join(nuclei.select(F.col("state_id").alias("id"), "score", "kind"), "id", "left")
+    return rows.select(F.col("id").alias("state_id"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("kind", F.lit("adjacent")).alias("kind"), "round")

@@ -4,7 +4,7 @@ import math
 
 import duckdb
 import pytest
-from skein.plans import catalog, catalog_more  # noqa: F401
+from skein.plans import catalog, catalog_extra, catalog_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
