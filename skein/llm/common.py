@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,11 @@ HOT_GROUPS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{os.getpid()}"
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, there is a local one on a local master only, where there are no other machines."""
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return given or f"file://{tempfile.gettempdir()}/skein-{os.getpid()}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -50,12 +54,17 @@ def ascii_lower(text: Column) -> Column:
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], payload: list[str], weight: str, row_id: Column) -> DataFrame:
     """Left-join what was aggregated for each group back to its rows, whatever the largest group holds.
 
-    The HOT_GROUPS groups with most rows are joined by broadcast (a bound of
-    rows that is fixed), so no key of the remaining shuffle holds over one in
-    HOT_GROUPS of the rows; the rows already served are spread by a salt.
+    The HOT_GROUPS groups with most rows (a bound that the data don't move) meet
+    their rows by broadcast, so no key of the shuffle join behind that holds
+    over one in HOT_GROUPS of the rows. Rows already served pass it spread by a
+    salt of `row_id`; the salt of all others is nought, worked out from the keys
+    because the optimizer would drop a constant from the shuffle's keys. Keys
+    are not null.
     """
     hot = groups.orderBy(F.col(weight).desc(), *keys).limit(HOT_GROUPS).select(*keys, F.struct(*payload).alias("_hot"))
-    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(row_id), F.lit(4096))).cast("int"))
-    cold = groups.select(*keys, F.lit(0).alias("_salt"), F.struct(*payload).alias("_cold"))
+    nought = F.pmod(F.xxhash64(*keys), F.lit(1))
+    salt = F.when(F.col("_hot").isNull(), nought).otherwise(1 + F.pmod(F.xxhash64(row_id), F.lit(4096)))
+    salted = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
+    cold = groups.select(*keys, nought.alias("_salt"), F.struct(*payload).alias("_cold")).hint("merge")
     joined = salted.join(cold, [*keys, "_salt"], "left").withColumn("_got", F.coalesce("_hot", "_cold"))
     return joined.select(*rows.columns, *(F.col(f"_got.{p}").alias(p) for p in payload))

@@ -24,12 +24,12 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Texts are equal when the same after all of `[\\x20\\x09-\\x0D]` is deleted.
     Of equal texts the row of most code points, then of the smallest id stays.
 
-    Refinement works on thin rows: lengths that occur once are settled first,
-    then prefix hashes that occur once within a length; only rows that share
-    both reach the full hash. With `digest_all` the full hash is wanted for
-    every row anyway, so the first scan makes it and no text is read again;
-    otherwise survivors alone are read in full (a second scan, joined by id)
-    and text_sha256 is null for rows settled earlier.
+    Refinement works on thin rows: those of a length that no other row has are
+    settled first; of the others, those whose prefix hash no other row of that
+    length has; only what is left is grouped by the full hash. With `digest_all`
+    the full hash is wanted for every row anyway, so the first scan makes it and
+    no text is read again; otherwise the texts of what is left alone are read in
+    full (a second scan) and text_sha256 is null for rows settled earlier.
 
     Null and empty texts form one group. A null id loses ties against any other
     id. Rows repeated with one id are members like any other. An empty table
@@ -43,19 +43,22 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         (F.sha2("norm", 256) if digest_all else F.lit(None).cast("string")).alias("text_sha256"),
     )
     thin = written(thin, "exact")
-    by_prefix = thin.groupBy("norm_len", "prefix").agg(F.count(F.lit(1)).alias("n_prefix"))
-    by_length = by_prefix.groupBy("norm_len").agg(F.sum("n_prefix").alias("n_length"))
-    shared = by_prefix.filter("n_prefix > 1").join(by_length.filter("n_length > 1"), "norm_len", "left_semi")
-    marked = attach(thin, shared, ["norm_len", "prefix"], ["n_prefix"], "n_prefix", F.col("doc_id"))
-    alone = marked.filter(F.col("n_prefix").isNull())
-    survivors = marked.filter(F.col("n_prefix").isNotNull()).drop("n_prefix")
-    if not digest_all:
-        full = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).join(survivors.select("doc_id").distinct().withColumnRenamed("doc_id", "_s"), F.col("doc_id").eqNullSafe(F.col("_s")), "left_semi")
-        full = full.select(F.col("doc_id").alias("_id"), F.length("norm").alias("_len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("_prefix"), F.sha2("norm", 256).alias("_sha")).distinct()
+    by_length = thin.groupBy("norm_len").agg(F.count(F.lit(1)).alias("n_length"))
+    same_length = written(attach(thin, by_length.filter("n_length > 1"), ["norm_len"], ["n_length"], "n_length", F.col("doc_id")), "exact-length")
+    alone = same_length.filter("n_length is null").drop("n_length")
+    same_length = same_length.filter("n_length > 1").drop("n_length")
+    by_prefix = same_length.groupBy("norm_len", "prefix").agg(F.count(F.lit(1)).alias("n_prefix"))
+    same_prefix = written(attach(same_length, by_prefix.filter("n_prefix > 1"), ["norm_len", "prefix"], ["n_prefix"], "n_prefix", F.col("doc_id")), "exact-prefix")
+    alone = alone.unionByName(same_prefix.filter("n_prefix is null").drop("n_prefix"))
+    survivors = same_prefix.filter("n_prefix > 1").drop("n_prefix")
+    if not digest_all:  # each row left brings its own text, so rows of one id stay as many as they were
+        left = survivors.select(F.col("doc_id").alias("_id"), F.col("norm_len").alias("_len"), F.col("prefix").alias("_prefix")).distinct()
+        again = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.length(text_col), F.lit(0)).alias("n_code"), norm.alias("norm"))
+        again = again.select("doc_id", "n_code", F.length("norm").alias("norm_len"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"), "norm")
         same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("norm_len") == F.col("_len")) & (F.col("prefix") == F.col("_prefix"))
-        survivors = written(survivors.join(full, same).withColumn("text_sha256", F.col("_sha")).select(*thin.columns), "exact-full")
+        survivors = written(again.join(left, same, "left_semi").select("doc_id", "n_code", "norm_len", "prefix", F.sha2("norm", 256).alias("text_sha256")), "exact-full")
     best = F.struct(-F.col("n_code"), F.col("doc_id").isNull(), F.col("doc_id"))
     groups = survivors.groupBy("norm_len", "text_sha256").agg(F.min(best).getField("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     grouped = attach(survivors, groups, ["norm_len", "text_sha256"], ["keep_id", "group_size"], "group_size", F.col("doc_id"))
-    out = grouped.unionByName(alone.drop("n_prefix").withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")}))
+    out = grouped.unionByName(alone.withColumns({"keep_id": F.col("doc_id"), "group_size": F.lit(1).cast("long")}))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

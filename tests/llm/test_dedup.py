@@ -45,6 +45,15 @@ def test_exact(table, digest_all):
         assert r.text_sha256 == sha(x) or (not digest_all and r.text_sha256 is None and len(groups[x]) == 1)
 
 
+@pytest.mark.parametrize("digest_all", [True, False])
+def test_one_id_with_several_texts(spark, digest_all):
+    """Every row stays one row, also where texts of one id share length and prefix."""
+    texts = ["x" * 300 + "a", "x" * 300 + "b", "x" * 300 + "a", None, "", "short", "other"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[2]), (None, texts[0]), (1, texts[3]), (3, texts[4]), (None, texts[5]), (4, texts[6])]
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest_all=digest_all).collect())
+    assert got == sorted([("1", "1", 3, True), ("1", "1", 1, True), ("2", "1", 3, False), ("None", "1", 3, False), ("1", "1", 2, True), ("3", "1", 2, False), ("None", "None", 1, True), ("4", "4", 1, True)])
+
+
 def test_lines(table):
     rows = dict(pairs(table))
     lines = {d: (t or "").split("\n") for d, t in rows.items()}

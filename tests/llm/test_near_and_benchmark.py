@@ -7,9 +7,11 @@ from collections import defaultdict
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
+from skein.llm.common import attach
 from skein.llm.components import components
 from skein.llm.decontaminate import decontaminate
-from skein.llm.license_scan import TEMPLATES, license_report, scan_licenses, template_bigrams
+from skein.llm.license_scan import TEMPLATES, anchors_of, license_report, necessary, scan_licenses, template_bigrams, template_words
 from skein.llm.near_dedup import near_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -50,6 +52,24 @@ def chain(seed, n):
     return out
 
 
+def test_one_id_with_several_texts(spark):
+    """Each text has its own links, and what is linked with any has the id in reach."""
+    p, q = (" ".join(f"{x}{i}" for i in range(60)) for x in "pq")
+    rows = [(1, p), (2, p + " e"), (1, q), (3, q + " e"), (None, p), (4, None), (4, "alone"), (4, "alone")]
+    got = sorted((str(r.doc_id), r.component_id, r.kept) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", 1, True), ("2", 1, False), ("1", 1, True), ("3", 1, False), ("None", None, True), ("4", 4, True), ("4", 4, True), ("4", 4, True)])
+
+
+def test_hot_groups_are_spread(spark):
+    """Rows of the largest groups meet them by broadcast; the shuffle behind has a salt among its keys, which spreads them."""
+    rows = spark.range(1000).select(F.when(F.col("id") < 600, -1).otherwise(F.col("id")).alias("k"), "id")
+    groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+    got = attach(rows, groups, ["k"], ["top"], "n", F.col("id"))
+    assert {(r.k, r.id, r.top) for r in got.collect()} == {(-1, i, 599) for i in range(600)} | {(i, i, i) for i in range(600, 1000)} and got.count() == 1000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(k#\d+L?, _salt#\d+L?, \d+\)", plan) and "BroadcastHashJoin" in plan
+
+
 @pytest.mark.parametrize("name", ["odd", "documents", "chains"])
 def test_near(spark, request, name):
     if name == "chains":
@@ -117,6 +137,16 @@ def test_benchmark(spark, request, name, bound):
     assert any(x[1] for x in got.values())
 
 
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_repeated_ids_and_broken_windows(spark, bound):
+    """Rows of one id are decided apart; windows whose shingles all occur, but not side by side, are not found."""
+    item = [f"item{i}" for i in range(20)]
+    docs = [(1, " ".join(item)), (1, "clean words only here"), (1, " ".join(item)), (2, " ".join(item[:12] + ["gap"] + item[10:])), (3, " ".join(item[:13])), (4, "item0 item1"), (5, "item1 item0 item1 item0 item1 item2")]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "item0 item1"), (9, "item0 item1 item2")], "item_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench, broadcast_windows=bound).collect())
+    assert got == sorted((d, *leaks({d: t}, [(r.item_id, r.text) for r in bench.collect()])[d]) for d, t in docs)
+
+
 def test_benchmark_edges(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not decontaminate(odd, none).filter("n_hit > 0").count()
@@ -140,9 +170,18 @@ def test_rows_without_an_id(spark, tmp_path, bound):
     assert sorted(map(key, corpus_pipeline.drop_contaminated(spark, near, str(tmp_path)).collect())) == sorted(map(key, [rows[1], rows[2], rows[3], rows[5]]))
 
 
+def test_necessary_bigrams():
+    """What lacks all necessary bigrams of a template stays under the similarity, even if it has all others and nothing else."""
+    for _, text in TEMPLATES:
+        every, (words, held) = set(template_bigrams(text)), necessary(text, 0.8)
+        rest = every - set(held)
+        assert all(set(g.split()) & set(words) for g in held) and 2 * len(rest) / (len(rest) + len(every)) < 0.8
+
+
 def test_licenses(spark, odd):
     mit = TEMPLATES[5][1]
-    texts = [(100, "Some prose.\n" + TEMPLATES[0][1].upper() + "\nMore of it."), (101, mit), (102, "Head\n\n" + mit.replace(", ", ",\n") + "\n\nTail"), (103, "Licensed under CC BY-NC 4.0."), (104, None), (105, "license"), (106, "The license of a work is a matter of law.")]
+    texts = [(100, "Some prose.\n" + TEMPLATES[0][1].upper() + "\nMore of it."), (101, mit), (102, "Head\n\n" + mit.replace(", ", ",\n") + "\n\nTail"), (103, "Licensed under CC BY-NC 4.0."), (104, None), (105, "license"), (106, "The license of a work is a matter of law."), (107, "Some prose before it. " + TEMPLATES[1][1] + " And prose behind it, as long as you like."),
+             (108, "\n".join(["# Head of a file", "#", *(f"# {x}" for x in mit.split(", ")), "#", "# Tail " * 40])), (109, " ".join([TEMPLATES[5][1]] * 7)), (110, "this is free software of the public domain " * 30), (111, "word " + TEMPLATES[0][1].replace("the", "an"))]
     table = odd.select("doc_id", "text").union(spark.createDataFrame(texts, "doc_id long, text string"))
 
     def dice(unit):
@@ -159,10 +198,18 @@ def test_licenses(spark, odd):
         for unit in [*t.split("\n"), *re.split(r"\n[ \t\r]*\n", t), t]:
             for k, v in dice(unit).items():
                 all_[k] = max(v, all_.get(k, 0))
+        w = template_words("".join(c if ord(c) < 128 else " " for c in t))
+        for number, gram, place, n in anchors_of(TEMPLATES, 0.8):
+            name, g = TEMPLATES[number][0], set(template_bigrams(TEMPLATES[number][1]))
+            for i in [i for i in range(len(w) - 1) if f"{w[i]} {w[i + 1]}" == gram]:
+                start = max(i - place, 0)
+                own = {f"{a} {b}" for a, b in zip(w[start : start + n], w[start + 1 : start + n])}
+                if (x := 2 * len(own & g) / (len(own) + len(g))) >= 0.8:
+                    all_[name] = max(x, all_.get(name, 0))
         best = min(all_, key=lambda k: (-all_[k], k)) if all_ else None
         want[r.doc_id] = (best, round(all_[best], 6) if best else 0.0, sorted(all_))
     got = {r.doc_id: (r.license, r.dice, r.licenses) for r in license_report(table).collect()}
     assert got == want
-    assert [got[d][0] for d in (100, 101, 102, 103, 106)] == ["Apache-2.0", "MIT", "MIT", "CC-BY-NC-4.0", None]
+    assert [got[d][0] for d in (100, 101, 102, 103, 106, 107, 108, 109, 110)] == ["Apache-2.0", "MIT", "MIT", "CC-BY-NC-4.0", None, "Apache-2.0", "MIT", "MIT", None]
     assert scan_licenses(table, templates=[]).count() == 0
     assert license_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
