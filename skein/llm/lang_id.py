@@ -104,7 +104,7 @@ def fit_language(rows: list[np.ndarray], weights: list[np.ndarray], labels: np.n
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
-        for i, j, part, at in blocks(data, offsets, 1 << 19):
+        for i, j, part, at in blocks(data, offsets, 1 << 18):
             both = list(subwords(part, at))
             rows, shares = [], []
             for a, b in zip(at[:-1], at[1:], strict=True):
@@ -154,7 +154,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, *, text_col: str =
         for batch in batches:
             data, offsets = text_bytes(batch.column(names.index(text_col)))
             best, score = [np.zeros(0, int)], [np.zeros(0)]
-            for _, _, part, at in blocks(data, offsets, 1 << 19):
+            for _, _, part, at in blocks(data, offsets, 1 << 18):
                 p = model.probabilities(part, at)
                 letters = has_letter(part, at)
                 best.append(np.where(letters, p.argmax(axis=1), len(model.languages)))

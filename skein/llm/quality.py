@@ -187,7 +187,7 @@ def fit_field(base: np.ndarray, length: np.ndarray, first: np.ndarray, label: np
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
-        for i, j, part, at in blocks(data, offsets, 1 << 20):
+        for i, j, part, at in blocks(data, offsets, 1 << 18):
             base, length, first = line_features(part, at)
             lists = [pa.ListArray.from_arrays(pa.array((first * k).astype(np.int32)), pa.array(v.reshape(-1).astype(np.float32))) for k, v in ((BASE_FEATURES, base), (1, length))]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["quality", "base", "length"])
@@ -223,7 +223,7 @@ def score_quality(docs: DataFrame, field: LineField, *, text_col: str = "text",
         for batch in batches:
             data, offsets = text_bytes(batch.column(names.index(text_col)))
             scores = [np.zeros(0)]
-            for _, _, part, at in blocks(data, offsets, 1 << 20):
+            for _, _, part, at in blocks(data, offsets, 1 << 18):
                 scores.append(field.score(field.share_good(*line_features(part, at))))
             score = np.concatenate(scores)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])

@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text worked on at a time; a longer text is worked on alone.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
 _rng = np.random.default_rng(20240501)
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=U) | U(1)
 BASE = U(0x9E3779B97F4A7C15)
