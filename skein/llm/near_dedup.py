@@ -55,13 +55,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return h[keep], group_bounds(text[keep], n)
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray, bands: int, per_band: int) -> tuple[np.ndarray, ...]:
-    """Two 64-bit sums that name each set, and for each band one hash of its minima and maxima; for sets that aren't empty."""
+def set_names(sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums that name each set that isn't empty."""
     at = bounds[:-1][np.diff(bounds) > 0]
     if not len(at):
-        return np.zeros(0, U), np.zeros(0, U), np.zeros((0, bands), U)
-    c1 = np.add.reduceat(mix(sets + U(1)), at)
-    c2 = np.add.reduceat(mix(sets ^ U(0x5851F42D4C957F2D)), at)
+        return np.zeros(0, U), np.zeros(0, U)
+    return np.add.reduceat(mix(sets + U(1)), at), np.add.reduceat(mix(sets ^ U(0x5851F42D4C957F2D)), at)
+
+
+def signatures(sets: np.ndarray, bounds: np.ndarray, bands: int, per_band: int) -> np.ndarray:
+    """For each set that isn't empty and each band one hash of the band's minima and maxima."""
+    at = bounds[:-1][np.diff(bounds) > 0]
+    if not len(at):
+        return np.zeros((0, bands), U)
     keys = np.zeros((len(at), bands), U)
     for b in range(bands):
         key = np.full(len(at), b + 1, U)
@@ -70,7 +76,7 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, bands: int, per_band: int)
             key = mix(key * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(y, at))
             key = mix(key * U(0x9E3779B97F4A7C15) + np.maximum.reduceat(y, at))
         keys[:, b] = key
-    return c1, c2, keys
+    return keys
 
 
 def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, per_band: int) -> Iterator[pa.RecordBatch]:
@@ -80,7 +86,7 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, per_band: in
         for i, j, part, at in blocks(data, offsets):
             sets, bounds = shingle_sets(part, at, size)
             n = np.diff(bounds)
-            c1, c2, keys = signatures(sets, bounds, bands, per_band)
+            (c1, c2), keys = set_names(sets, bounds), signatures(sets, bounds, bands, per_band)
             full = n > 0
             one, two = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
             one[full], two[full] = c1.view(np.int64), c2.view(np.int64)
@@ -94,15 +100,22 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
         data, offsets = text_bytes(batch.column(1))
         for i, j, part, at in blocks(data, offsets):
             sets, bounds = shingle_sets(part, at, size)
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["doc_id", "shingles"])
+            full = np.diff(bounds) > 0
+            names = np.zeros((2, j - i), np.int64)
+            names[0, full], names[1, full] = (x.view(np.int64) for x in set_names(sets, bounds))
+            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(names[0]), pa.array(names[1]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["rep", "c1", "c2", "shingles"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """Pairs (u, v) whose full sets are as similar as asked: part * |intersection| >= whole * |union|."""
-    a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
+    """Pairs (u, v) whose full sets are as similar as asked: part * |intersection| >= whole * |union|.
+
+    `sets` is a written table of one row a node, so both joins are of plain
+    shuffles, and AQE splits the one that many pairs have in common.
+    """
+    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
+    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
     shared = F.size(F.array_intersect("su", "sv"))
-    return pairs.join(a, "u").join(b, "v").filter(shared * similarity[1] >= (F.size("su") + F.size("sv") - shared) * similarity[0]).select("u", "v")
+    return pairs.join(a.hint("merge"), "u").join(b.hint("merge"), "v").filter(shared * similarity[1] >= (F.size("su") + F.size("sv") - shared) * similarity[0]).select("u", "v")
 
 
 def _fits(a: str, b: str, similarity: tuple[int, int]) -> Column:
@@ -112,17 +125,17 @@ def _fits(a: str, b: str, similarity: tuple[int, int]) -> Column:
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of bands that hold several components so far, with their root."""
-    labelled = members.join(roots.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("band")
-    return labelled.join(mixed, "band", "left_semi").select("band", "doc_id", "n_shingles", "root")
+    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "node", "n_shingles", "root")
+    mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
+    return written(attach(labelled, mixed, ["band"], ["lo"], "m", F.col("node")).filter("lo is not null").drop("lo"), "mixed")
 
 
 def _next_star(mixed: DataFrame, turn: int, similarity: tuple[int, int]) -> DataFrame:
     """Pairs of each member outside its band's largest component with one member of that component, another in each turn."""
-    by_root = mixed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("doc_id", "band", F.lit(turn)).alias("o"), "doc_id", "n_shingles")).alias("p"))
-    largest = by_root.groupBy("band").agg(F.max(F.struct("c", "root", "p")).alias("x")).select("band", F.col("x.root").alias("root_p"), F.col("x.p.doc_id").alias("pivot"), F.col("x.p.n_shingles").alias("n_pivot"))
-    pairs = mixed.join(largest, "band").filter((F.col("root") != F.col("root_p")) & _fits("n_shingles", "n_pivot", similarity))
-    return pairs.select(F.least("doc_id", "pivot").alias("u"), F.greatest("doc_id", "pivot").alias("v")).distinct()
+    by_root = mixed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("node", "band", F.lit(turn)).alias("o"), "node", "n_shingles")).alias("p"))
+    largest = by_root.groupBy("band").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root", "p")).alias("x")).select("band", "m", F.col("x.root").alias("root_p"), F.col("x.p.node").alias("pivot"), F.col("x.p.n_shingles").alias("n_pivot"))
+    pairs = attach(mixed, largest, ["band"], ["root_p", "pivot", "n_pivot"], "m", F.col("node")).filter((F.col("root") != F.col("root_p")) & _fits("n_shingles", "n_pivot", similarity))
+    return pairs.select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
 
 
 def _rest(mixed: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -134,15 +147,17 @@ def _rest(mixed: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> Dat
     have as many left as the intersection needs.
     """
     part, whole = similarity
-    labelled = mixed.select("doc_id", "root").distinct()
-    tokens = written(labelled.join(sets, "doc_id").select("doc_id", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
+    labelled = mixed.select("node", "root").distinct()
+    tokens = written(labelled.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
     rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     need = (F.col("n") - F.ceil(F.col("n") * part / whole) + 1).cast("int")
-    ordered = tokens.join(rare, "token").groupBy("doc_id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token", (F.col("lo") < F.col("hi")).alias("shared")))).alias("p"))
-    prefix = ordered.select("doc_id", "root", "n", F.posexplode(F.slice("p", F.lit(1), need)).alias("i", "p")).filter("p.shared").select("doc_id", "root", (F.col("n")).alias("n"), (F.col("n") - F.col("i")).alias("left"), F.col("p.token").alias("token"))
-    other = prefix.withColumnsRenamed({"doc_id": "v", "root": "root_v", "n": "n_v", "left": "left_v"})
+    ordered = attach(tokens, rare, ["token"], ["df", "lo", "hi"], "df", F.col("node")).groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token", (F.col("lo") < F.col("hi")).alias("shared")))).alias("p"))
+    prefix = ordered.select("node", "root", "n", F.posexplode(F.slice("p", F.lit(1), need)).alias("i", "p")).filter("p.shared").select("node", "root", "n", (F.col("n") - F.col("i")).alias("left"), F.col("p.token").alias("token"))
+    prefix = written(prefix, "prefix")
+    removed(tokens)
+    other = prefix.withColumnsRenamed({"node": "v", "root": "root_v", "n": "n_v", "left": "left_v"})
     enough = F.least("left", "left_v") * (part + whole) >= (F.col("n") + F.col("n_v")) * part
-    pairs = prefix.withColumnRenamed("doc_id", "u").join(other, "token").filter((F.col("root") < F.col("root_v")) & _fits("n", "n_v", similarity) & enough)
+    pairs = prefix.withColumnRenamed("node", "u").join(other, "token").filter((F.col("root") < F.col("root_v")) & _fits("n", "n_v", similarity) & enough)
     return pairs.select("u", "v").distinct()
 
 
@@ -155,9 +170,11 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     `similarity`; component_id is the least id reachable.
 
     Each permutation's minimum and maximum both enter the signature, and
-    `per_band` permutations (so twice as many values) make a band: a pair of
-    similarity 0.8 shares none of 24 bands with probability 3e-6. Documents of
-    equal sets are one class from the first shuffle on. Then, in each band, all
+    `per_band` permutations (so twice as many values) make a band. A pair of
+    similarity 0.8 shares none of 24 bands with probability 3e-6 where sets are
+    large and, as minimum and maximum are drawn without replacement, 2e-5 for 4
+    of 5 shingles; that is the only way to lose a link. Documents of equal sets
+    are one class, and so one node, from the first shuffle on. In each band all
     classes are compared with one of them, another in each band (as many pairs
     as rows), on the full sets; in bands that still hold several components the
     members outside the largest are compared with one of its members, again and
@@ -166,48 +183,60 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     not listed again.
 
     Null and empty texts, and those without words, have no shingles and are
-    linked with nothing. Rows without an id are their own component. Repeated
-    rows of one id and text are one node. An empty table gives an empty result.
+    linked with nothing. Rows without an id are their own component. Rows
+    repeated with one id and text are one node; rows of one id and several texts
+    each have their own links, and what is linked with any of them has that id
+    in reach. Ids are whole numbers, as component_id is the least. An empty
+    table gives an empty result.
     """
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = thin.mapInArrow(lambda b: _sign(b, shingle, bands, per_band), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>")
     signed = written(signed, "signed")
     named = signed.filter("n_shingles > 0 and doc_id is not null")
     name = ["n_shingles", "c1", "c2"]
-    classes = written(named.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs")), "classes")
-    reps = named.join(classes.select(F.col("rep").alias("doc_id"), *name), ["doc_id", *name], "left_semi").dropDuplicates(["doc_id"])
-    members = reps.select("doc_id", "n_shingles", F.posexplode("bands").alias("b", "key")).select("doc_id", "n_shingles", F.xxhash64("b", "key").alias("band"))
-    order = F.xxhash64("doc_id", "band")  # another pivot in each band
-    pivots = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "doc_id", "n_shingles")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "m", F.col("p.doc_id").alias("pivot"), F.col("p.n_shingles").alias("n_pivot"))
+    classes = named.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # written at once, so numbered once
+    members = classes.select("node", "n_shingles", F.posexplode("bands").alias("b", "key")).select("node", "n_shingles", F.xxhash64("b", "key").alias("band"))
+    order = F.xxhash64("node", "band")  # another pivot in each band
+    pivots = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "n_shingles")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "m", F.col("p.node").alias("pivot"), F.col("p.n_shingles").alias("n_pivot"))
     pivots = written(pivots, "pivots")
-    members = written(attach(members, pivots, ["band"], ["pivot", "n_pivot"], "m", F.col("doc_id")).filter(F.col("pivot").isNotNull()), "members")
-    wanted = members.select("doc_id").distinct()
-    texts = thin.join(wanted, "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(lambda b: _sets(b, shingle), "doc_id long, shingles array<long>"), "sets")
-    sets_once = sets.dropDuplicates(["doc_id"])
-    star = members.filter((F.col("doc_id") != F.col("pivot")) & _fits("n_shingles", "n_pivot", similarity)).select(F.least("doc_id", "pivot").alias("u"), F.greatest("doc_id", "pivot").alias("v")).distinct()
-    links = written(_confirmed(star, sets_once, similarity), "links")
+    members = written(attach(members, pivots, ["band"], ["pivot", "n_pivot"], "m", F.col("node")).filter(F.col("pivot").isNotNull()), "members")
+    wanted = written(members.select("node").distinct().join(classes, "node").select("node", "rep", "c1", "c2"), "wanted")
+    texts = thin.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    found = texts.mapInArrow(lambda b: _sets(b, shingle), "rep long, c1 long, c2 long, shingles array<long>")
+    sets = written(found.join(wanted, ["rep", "c1", "c2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+    star = members.filter((F.col("node") != F.col("pivot")) & _fits("n_shingles", "n_pivot", similarity)).select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+    links = written(_confirmed(star, sets, similarity), "links")
     roots = components(links)
     removed(links)
+    members = members.select("band", "node", "n_shingles")
     turn = 0
     while True:  # a few more pivots for those left outside, as long as that links many of them
-        mixed = written(_mixed(members, roots), "mixed")
+        mixed = _mixed(members, roots)
+        if mixed.isEmpty():  # no band holds several components: nothing is left to compare
+            linked = 0
+            break
         star = written(_next_star(mixed, turn, similarity), "star")
-        links = written(_confirmed(star, sets_once, similarity), "links")
+        links = written(_confirmed(star, sets, similarity), "links")
         tried, linked = star.count(), links.count()
-        roots = components(links.union(roots.select("node", "root"))) if linked else roots
+        if linked:
+            before, roots = roots, components(links.union(roots.select("node", "root")))
+            removed(before)
+            removed(mixed)
         removed(star)
         removed(links)
-        removed(mixed)
         turn += 1
         if linked * MANY < tried or not linked:
             break
-    mixed = written(_mixed(members, roots), "mixed")
-    links = written(_confirmed(_rest(mixed, sets_once, similarity), sets_once, similarity), "links")
-    roots = components(links.union(roots.select("node", "root")))
-    joined = classes.join(roots, classes["rep"] == roots["node"], "left").select(*name, "n_docs", F.coalesce("root", "rep").alias("component"))
-    joined = written(joined, "components")
-    for t in (pivots, members, sets, links, mixed, classes):
+    mixed = _mixed(members, roots) if linked else mixed
+    if not mixed.isEmpty():
+        links = written(_confirmed(_rest(mixed, sets, similarity), sets, similarity), "links")
+        roots = components(links.union(roots.select("node", "root"))) if not links.isEmpty() else roots
+        removed(links)
+    linked = classes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = linked.groupBy("root").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("n_classes"))
+    joined = written(attach(linked, least, ["root"], ["component"], "n_classes", F.col("node")).select(*name, "n_docs", "component"), "components")
+    for t in (pivots, members, wanted, sets, mixed, classes):
         removed(t)
     out = attach(signed.drop("bands"), joined, name, ["component"], "n_docs", F.col("doc_id"))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
