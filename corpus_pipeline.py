@@ -43,16 +43,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with too many words of benchmark items go, rows without an id by their own words; of repeated ids all go if one does."""
+    """Documents with too many words of benchmark items go, each by its own text, also where its id is null or repeated."""
     marked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=[c for c in COLUMNS if c != "doc_id"])
-    found = marked.filter("contaminated and doc_id is not null").select("doc_id").distinct()
-    clean = marked.filter("doc_id is null and not contaminated").select(*COLUMNS)
-    return docs.filter("doc_id is not null").join(found.hint("merge"), "doc_id", "left_anti").select(*COLUMNS).unionByName(clean)
+    return marked.filter("not contaminated").select(*COLUMNS)
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every text."""
-    return encode(docs.select("doc_id", "text")).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens and ids of every text, and whether they decode to it again; null and empty texts have none, rows repeated or without an id are encoded like any other."""
+    return encode(docs.select("doc_id", "text"), round_trip=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
