@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skein.llm.textops import SPACE, TO_LOWER, blocks, text_bytes
 
@@ -118,7 +119,10 @@ def train_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """Fit on at most `sample` documents with a language and a text, a like number for each language, those of least hash of the id.
 
     The languages seen are counted over all usable rows; the driver gets one
-    row for each, and the sample's bucket counts.
+    row for each, and the sample's bucket counts. One more scan picks the sample
+    of all languages: each task keeps its own first rows of a language before
+    the shuffle. Rows repeated with one id and language count once. Without a
+    usable row the model knows `und` alone.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
     known = known.filter(usable) if usable is not None else known
@@ -126,10 +130,8 @@ def train_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if not languages:
         return LanguageModel([UNDETERMINED], np.zeros((BUCKETS, 1), np.float32), np.zeros(1), 1.0, 0.0)
     each = -(-sample // len(languages))
-    picked = None
-    for x in languages:
-        own = known.filter(F.col(lang_col) == x).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).orderBy(F.xxhash64("_id"), "_id").limit(each)
-        picked = own if picked is None else picked.union(own)
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
+    picked = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_n", place).filter(F.col("_n") <= each).select("_id", "_lang")
     thin = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).join(F.broadcast(picked.distinct()), ["_id", "_lang"]).select("_lang", "_text")
     got = thin.mapInArrow(_counted, "lang string, rows array<int>, shares array<float>").toArrow()
     labels = np.array([languages.index(x) for x in got.column("lang").to_pylist()], int)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from skein.llm.textops import SPACE, TO_LOWER, Hasher, blocks, group_bounds, spans, text_bytes
 
-#: Labelled documents that the field is fitted on, at most.
-SAMPLE = 6000
+#: Labelled documents that the field is fitted on, and lines of them, at most.
+SAMPLE, SAMPLE_LINES = 6000, 200_000
 THRESHOLD = 0.3
 BASE_FEATURES = 14
 
@@ -193,13 +193,27 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["quality", "base", "length"])
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", usable: Column | None = None, sample: int = SAMPLE) -> LineField:
-    """Fit on `sample` labelled documents at most, those of least hash of the id; one scan, the sampled labels are broadcast."""
+def train_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", usable: Column | None = None, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> LineField:
+    """Fit on `sample` labelled documents at most, those of least hash of the id; one scan, the sampled labels are broadcast.
+
+    The driver gets the features of their lines, whole documents in the same
+    order until the next would bring more than `sample_lines` lines in all. Rows
+    repeated with one id each count as a document of its label, of several
+    labels the least. Without a label, or with labels of one kind, the field
+    scores all texts alike.
+    """
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     chosen = chosen.filter(usable) if usable is not None else chosen
     chosen = chosen.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    thin = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_label", "_text")
-    got = thin.mapInArrow(_features, "quality int, base array<float>, length array<float>").toArrow()
+    thin = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
+    lines = F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1
+    counts = thin.select(F.xxhash64("_id").alias("_h"), "_id", F.coalesce(lines, F.lit(1)).cast("long").alias("_n"))
+    sizes = sorted((r._h, str(r._id), r._n) for r in counts.orderBy("_h", "_id", "_n").limit(2 * sample).collect())  # a row a document of the sample
+    total = np.cumsum([n for _, _, n in sizes])
+    within = min(int(np.searchsorted(total, sample_lines, "right")), 2 * sample - 1)
+    if within < len(sizes):  # the documents from this one on would be too many, or too long
+        thin = thin.filter(F.xxhash64("_id") < sizes[within][0])
+    got = thin.select("_label", "_text").mapInArrow(_features, "quality int, base array<float>, length array<float>").toArrow()
     if not got.num_rows:
         return fit_field(np.zeros((0, BASE_FEATURES)), np.zeros(0), np.zeros(1, int), np.zeros(0))
     length = got.column("length").combine_chunks()

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from skein.llm import queries
+from skein.llm import quality, queries
 from skein.llm.lang_id import identify_language, train_language
 from skein.llm.near_dedup import near_dedup
 from skein.llm.quality import LineField, line_features, marginals, score_quality, train_quality
@@ -42,6 +42,22 @@ def test_quality_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def test_samples_are_bounded(spark):
+    """Long documents, and an id that very many rows repeat, bring no more than the sample's lines to the driver; languages share one sample."""
+    docs = spark.range(300).selectExpr("if(id < 200, 7, id) as doc_id", "repeat(concat('good words here', char(10)), if(id = 250, 5000, 1 + cast(id % 3 as int))) as text", "if(id % 4 = 0, 'aa', concat('b', id % 3)) as lang")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    original = quality.fit_field
+    try:
+        quality.fit_field = lambda base, length, first, label, **k: seen.append((len(base), len(label))) or original(base, length, first, label, **k)
+        train_quality(docs, labels, sample=30, sample_lines=60)
+        train_quality(docs, labels)
+    finally:
+        quality.fit_field = original
+    assert 0 < seen[0][0] <= 60 and seen[0][1] <= 60 and seen[1][1] == 300
+    assert train_language(docs, sample=20).languages == ["aa", "b0", "b1", "b2"]
+
+
 def test_quality_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int")
     out = score_quality(odd.withColumn("score", F.lit("old")), train_quality(odd, none)).collect()
