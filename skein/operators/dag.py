@@ -105,7 +105,9 @@ def canonical_frontier(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     leaf = nodes.select("node_id", F.col("source_type").alias("t"), F.size("source_ids").alias("k"))
     below = reach.join(leaf, "node_id", "left")
     is_leaf = F.col("t").isNull() | (F.col("t") == "messages") | (F.col("k") <= 0)
-    pairs = below.filter(is_leaf).select("root", F.col("node_id").alias("leaf")).distinct()
+    path = f"{shared_dir(nodes.sparkSession)}/leaves-{uuid.uuid4().hex}"
+    below.filter(is_leaf).select("root", F.col("node_id").alias("leaf")).distinct().write.parquet(path)  # used three times
+    pairs = nodes.sparkSession.read.schema("root long, leaf long").parquet(path)
     sets = pairs.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("leaf")).alias("h"), F.sum(F.xxhash64("leaf").cast("decimal(38,0)")).alias("s"))
     picked = sets.join(candidates.select(F.col("node_id").alias("root"), "depth"), "root").groupBy("n", "h", "s").agg(F.min(F.struct(-F.col("depth"), F.col("root").alias("root"))).getField("root").alias("root")).select("root", "n")
     own = pairs.join(picked, "root")

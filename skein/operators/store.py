@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein.sources.tables import shared_dir
+
 UNKNOWN = "unknown"
 
 
@@ -63,8 +66,10 @@ def anchor_windows(messages: DataFrame, anchors: DataFrame, before: int, after:
     Neighbours by place: an equi-join on (session, place), not a range join.
     """
     before, after = max(0, min(12, before)), max(0, min(12, after))
-    placed = messages.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("store_id")))
     ids = anchors.select(F.col("store_id").alias("anchor_id")).distinct()
+    around = messages.join(ids, F.col("store_id") == F.col("anchor_id"), "left_semi").select("session_id").distinct()
+    own = messages.join(around, "session_id", "left_semi")  # only sessions with an anchor are numbered
+    placed = own.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("store_id")))
     wanted = placed.join(ids, F.col("store_id") == F.col("anchor_id")).select("anchor_id", "session_id", F.explode(F.sequence(F.col("place") - before, F.col("place") + after)).alias("place"))
     return wanted.join(placed, ["session_id", "place"]).drop("place")
 
@@ -112,13 +117,17 @@ def time_bounds(messages: DataFrame, ids: DataFrame) -> DataFrame:
 def append(existing: DataFrame, new: DataFrame) -> DataFrame:
     """New messages with ids behind the greatest there is, in the order of (timestamp, session, role).
 
-    Ids are dense: rows are range-partitioned, numbered within their part, and
-    the parts' counts (one row each) are added up.
+    Ids are dense: rows are range-partitioned, numbered within their part and
+    written, so that what is counted and what is numbered is the same; then the
+    parts' counts (one row each) are added up.
     """
+    spark = existing.sparkSession
     top = existing.agg(F.coalesce(F.max("store_id"), F.lit(0)).alias("top"))
     keys = ["timestamp", "session_id", "role"]
-    placed = new.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_i": F.monotonically_increasing_id()})
-    placed = placed.withColumn("_i", F.col("_i").bitwiseAND(F.lit(2**33 - 1)))
+    placed = new.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumns({"_part": F.spark_partition_id(), "_i": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))})
+    path = f"{shared_dir(spark)}/append-{uuid.uuid4().hex}"
+    placed.write.parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path)
     counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     out = placed.join(F.broadcast(starts), "_part").crossJoin(F.broadcast(top))
@@ -174,3 +183,21 @@ def find_payload(payloads: DataFrame, wanted: DataFrame) -> DataFrame:
 def metadata_upsert(metadata: DataFrame, changes: DataFrame) -> DataFrame:
     """(key, value) rows with the changes put in; equal values are left alone."""
     return metadata.join(changes.select("key"), "key", "left_anti").unionByName(changes)
+
+
+CALLS = "array<struct<id:string,type:string,function:struct<name:string,arguments:string>>>"
+
+
+def public(messages: DataFrame) -> DataFrame:
+    """Messages as a chat interface takes them: role, content, calls decoded from their JSON, and of a tool's result the call it answers; fields that don't apply are null."""
+    calls = F.from_json("tool_calls", CALLS)
+    return messages.select(
+        "store_id", "session_id", "role", F.when((F.col("role") != "assistant") | (F.coalesce(F.size(calls), F.lit(0)) <= 0) | (F.length("content") > 0), F.coalesce("content", F.lit(""))).alias("content"),
+        F.when((F.col("role") == "assistant") & (F.size(calls) > 0), calls).alias("tool_calls"), F.when(F.col("role") == "tool", F.nullif("tool_call_id", F.lit(""))).alias("tool_call_id"), F.when(F.col("role") == "tool", F.nullif("tool_name", F.lit(""))).alias("name"),
+    )
+
+
+def backfill(messages: DataFrame, payloads: DataFrame, threshold: int = 12_000) -> DataFrame:
+    """Payloads that old tool results should have and don't: long ones whose digest isn't there, each once."""
+    _, wanted = payload_split(messages.filter("role = 'tool'"), threshold)
+    return wanted.join(payloads.select("ref").distinct(), "ref", "left_anti")

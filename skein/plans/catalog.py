@@ -416,7 +416,10 @@ def node_search_of_source(spark, d):
     return found.agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_"), F.max("node_id").alias("last_"))
 
 
-@query(sql(f"SELECT kind, id, round(rank, 6) AS rank FROM (SELECT 'message' AS kind, store_id AS id, round(rank, 9) AS rank, timestamp AS t, role FROM hits UNION ALL SELECT 'summary', store_id, round(rank, 9), timestamp, NULL FROM nhits) ORDER BY round(rank, 9), {_BIAS}, t DESC, id DESC, kind LIMIT 30", M, N, _NODE_ROWS, S.bm25(["that", "for"], _AND), S.bm25(["that", "for"], _AND).replace("FROM m)", "FROM nm)").replace("tf AS (", "ntf AS (").replace("FROM tf", "FROM ntf").replace(" st AS", " nst AS").replace(", st WHERE", ", nst WHERE").replace("hits AS", "nhits AS").replace("tf.*", "ntf.*")))
+_NODE_HITS = S.bm25(["that", "for"], _AND).replace("FROM m)", "FROM nm)").replace("tf AS (", "ntf AS (").replace("FROM tf", "FROM ntf").replace(" st AS", " nst AS").replace(", st WHERE", ", nst WHERE").replace("hits AS", "nhits AS").replace("tf.*", "ntf.*")
+
+
+@query(sql(f"SELECT kind, id, round(rank, 6) AS rank FROM (SELECT 'message' AS kind, store_id AS id, round(rank, 9) AS rank, timestamp AS t, role FROM hits UNION ALL SELECT 'summary', store_id, round(rank, 9), timestamp, NULL FROM nhits) ORDER BY round(rank, 9), {_BIAS}, t DESC, id DESC, kind LIMIT 30", M, N, _NODE_ROWS, S.bm25(["that", "for"], _AND), _NODE_HITS))
 def grep_full_text(spark, d):
     hits = grep.full_text(src.messages(spark, d), src.nodes(spark, d), _indexed(spark, d), _node_indexed(spark, d), "that for", sort="relevance", limit=30, now=NOW)
     return hits.select("kind", "id", F.round("rank", 6).alias("rank"))

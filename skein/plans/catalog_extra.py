@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skein import tools
 from skein.functions import content as C
-from skein.operators import compaction, evidence, index, trajectory, vector, views
-from skein.plans.catalog import _Q, NOW, _indexed, _vector, query
+from skein.operators import compaction, evidence, index, store, trajectory, vector, views
+from skein.plans.catalog import _AND, _BIAS, _NODE_HITS, _NODE_ROWS, _Q, NOW, _indexed, _vector, query
 from skein.plans.catalog_sql import M, N, V, bm25, estimate, sql
 from skein.sources import tables as src
 
@@ -272,3 +275,55 @@ def trajectory_hybrid(spark, d):
 def trajectory_hybrid_adjacent(spark, d):
     rows = trajectory.hybrid(*_trajectories(spark, d), limit=12, candidates=40, per_trajectory=2)
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("round") == 0).alias("chosen"))
+
+
+# --- sources, sinks and tools ----------------------------------------------
+
+
+@query("SELECT o_orderkey AS store_id, CASE WHEN o_orderkey % 3 > 0 THEN 'said' END AS content, CASE WHEN o_orderkey % 3 = 0 THEN 'f' || o_orderkey END AS called, CASE WHEN o_orderkey % 3 = 1 THEN 'c' || o_orderkey END AS tool_call_id FROM orders")
+def public_messages(spark, d):
+    k, i = F.col("o_orderkey") % 3, F.col("o_orderkey").cast("string")
+    calls = F.concat(F.lit('[{"id":"c'), i, F.lit('","type":"function","function":{"name":"f'), i, F.lit('","arguments":"{}"}}]'))
+    m = src.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("store_id"), F.lit("s").alias("session_id"), F.when(k == 0, "assistant").when(k == 1, "tool").otherwise("user").alias("role"), F.when(k > 0, "said").alias("content"),
+        F.when(k == 0, calls).when(k == 2, "[broken").alias("tool_calls"), F.concat(F.lit("c"), i).alias("tool_call_id"), F.lit("").alias("tool_name"),
+    )
+    return store.public(m).select("store_id", "content", F.get("tool_calls", F.lit(0))["function"]["name"].alias("called"), "tool_call_id")
+
+
+def _results(spark, d):
+    return src.table(spark, d, "documents").select(F.col("doc_id").alias("store_id"), F.col("source").alias("session_id"), F.lit("tool").alias("role"), F.col("text").alias("content"))
+
+
+@query("SELECT sha256(text) AS ref, length(text) AS chars, substr(min(text), 1, 50) AS head FROM documents WHERE length(text) > 8000 GROUP BY ALL")
+def sidecar_files(spark, d):
+    path = f"{src.shared_dir(spark)}/sidecars-{uuid.uuid4().hex}"
+    store.payload_split(_results(spark, d), 8000)[1].write.json(path)
+    return src.read_sidecars(spark, path, 50).select("ref", "chars", F.col("content").alias("head"))
+
+
+@query("SELECT sha256(text) AS ref FROM documents WHERE length(text) > 8000 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE length(text) > 8000 AND doc_id % 2 = 0) GROUP BY ALL")
+def sidecar_backfill(spark, d):
+    r = _results(spark, d)
+    return store.backfill(r, store.payload_split(r.filter("store_id % 2 = 0"), 8000)[1], 8000).select("ref")
+
+
+@query(sql("SELECT (SELECT count(*) FROM m) AS messages, (SELECT count(DISTINCT session_id) FROM m) AS sessions, (SELECT sum(token_estimate) FROM m) AS message_tokens, (SELECT max(store_id) FROM m) AS max_store_id, count(*) AS nodes, max(depth) AS max_depth, sum(token_count) AS node_tokens, sum(source_token_count) AS source_tokens, round(sum(source_token_count) / sum(token_count), 6) AS compression FROM n", M, N))
+def store_status(spark, d):
+    return tools.counters(src.messages(spark, d), src.nodes(spark, d))
+
+
+@query("SELECT source AS session_id, count(DISTINCT r) AS n_refs, count(DISTINCT r) FILTER (r % 3 = 1) AS n_missing, coalesce(sum(chars) FILTER (r % 3 <> 1), 0) AS chars FROM (SELECT source, doc_id AS r, length(text) AS chars FROM documents) GROUP BY 1")
+def reference_inventory(spark, d):
+    docs = src.table(spark, d, "documents")
+    ref = F.concat(F.lit("r"), F.col("doc_id").cast("string"))
+    m = docs.select(F.col("source").alias("session_id"), F.concat(F.lit("see [Externalized payload: kind=x; ref="), ref, F.lit("] there")).alias("content"))
+    return tools.reference_inventory(m, docs.filter("doc_id % 3 <> 1").select(ref.alias("ref"), F.coalesce("text", F.lit("")).alias("content")))
+
+
+@query(sql(f"""SELECT kind, id, place, store_id FROM (SELECT *, sum(token_estimate) OVER (ORDER BY place, store_id) AS used FROM (SELECT store_id, min(place) AS place, arg_min(kind, place) AS kind, arg_min(id, place) AS id FROM
+    (SELECT kind, id, place, id AS store_id FROM g WHERE kind = 'message' UNION ALL SELECT kind, id, place, child FROM g JOIN e ON e.parent = id AND child_type = 'messages' WHERE kind = 'summary') GROUP BY store_id) JOIN m USING (store_id)) WHERE used <= 600""", M, N, _NODE_ROWS, bm25(["that", "for"], _AND), _NODE_HITS, f"""g AS (SELECT kind, id, cast(row_number() OVER (ORDER BY rank, kind, id) AS INT) AS place FROM (SELECT 'message' AS kind, store_id AS id, round(rank, 9) AS rank, timestamp AS t, role FROM hits UNION ALL
+    SELECT 'summary', store_id, round(rank, 9), timestamp, NULL FROM nhits ORDER BY rank, {_BIAS}, t DESC, id DESC, kind LIMIT 8))"""))
+def expand_query(spark, d):
+    engine = tools.Engine(spark, src.messages(spark, d), src.nodes(spark, d), now=NOW)
+    return tools.expansion(engine, "that for", 8, 600).select("kind", "id", "place", "store_id")

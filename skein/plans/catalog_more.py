@@ -10,11 +10,13 @@ from skein.operators import assertions as A
 from skein.operators import chunk as C
 from skein.operators import compute as Q
 from skein.operators import dag, diagnostics, fusion, rollup, trajectory
-from skein.plans.catalog import NOW, query
+from skein.plans.catalog import _CARRIED, NOW, query
 from skein.plans.catalog_sql import M, N, R, V, estimate, sql
 from skein.sources import tables as src
 from skein.streaming import events as streams
 
+_FLAGGED = _CARRIED.replace("p_partkey % 8", "p_partkey % 10").replace("ELSE p_name", "WHEN 8 THEN ' [Acknowledged] ' WHEN 9 THEN 'Still working...' ELSE p_name")
+
 # --- graph -----------------------------------------------------------------
 
 
@@ -79,10 +81,11 @@ def nodes_of_source(spark, d):
     return dag.with_source(src.nodes(spark, d), src.messages(spark, d), F.col("source") == "src2").select("node_id")
 
 
-@query(sql("SELECT max(node_id) AS node_id FROM n GROUP BY session_id", M, N))
+@query(sql("SELECT max(node_id) AS node_id FROM n WHERE cast(substr(session_id, 2) AS INT) % 2 = 0 GROUP BY session_id UNION ALL SELECT node_id FROM n WHERE cast(substr(session_id, 2) AS INT) % 2 = 1 AND depth = 1", M, N))
 def canonical_frontier(spark, d):
     n = src.nodes(spark, d)
-    return dag.canonical_frontier(n, n).select("node_id")
+    topless = F.expr("cast(substring(session_id, 2) as int) % 2 = 1 and depth = 2")
+    return dag.canonical_frontier(n, n.filter(~topless)).select("node_id")
 
 
 @query(sql("SELECT place, id, tokens FROM (SELECT row_number() OVER (ORDER BY store_id) - 1 AS place, store_id AS id, token_estimate AS tokens, sum(token_estimate) OVER (ORDER BY store_id) AS used FROM m WHERE session_id = 'c1' AND store_id < 1004) WHERE used <= 500 OR place = 0", M))
@@ -460,9 +463,10 @@ def policy_scores(spark, d):
     return diagnostics.compare_policies(o.select(F.col("o_orderpriority").alias("policy"), F.col("o_orderstatus").alias("version"), (F.col("o_totalprice") / 500000).alias("retrieval"), (F.col("o_custkey") % 10 / 10).alias("active"), (F.col("o_orderkey") % 2).alias("risk"), F.lit(0).alias("failures"), F.lit(0).alias("pressure")))
 
 
-@query(sql("SELECT store_id, length(content) AS chars FROM m WHERE NOT regexp_matches(content, '[^\\s]')", M))
+@query("SELECT p_partkey AS store_id, length(x) AS chars, p_partkey % 10 IN (0, 2, 3) AS data_uri, p_partkey % 10 = 4 AS base64, p_partkey % 10 = 8 AS noise, p_partkey % 10 = 9 AS heartbeat, false AS repetitive FROM (SELECT *, " + _FLAGGED + " AS x FROM part) WHERE p_partkey % 10 IN (0, 2, 3, 4, 8, 9)")
 def payload_risks(spark, d):
-    return diagnostics.payload_risks(src.messages(spark, d)).select("store_id", "chars")
+    m = src.table(spark, d, "part").select(F.col("p_partkey").alias("store_id"), F.lit("s").alias("session_id"), F.lit("assistant").alias("role"), F.expr(_FLAGGED.replace("\\", "\\\\")).alias("content"))
+    return diagnostics.payload_risks(m, 2**31 - 1).select("store_id", "chars", "data_uri", "base64", "noise", "heartbeat", "repetitive")
 
 
 # --- streams ---------------------------------------------------------------
@@ -473,8 +477,7 @@ def _checkpoint(spark, name):
 
 
 def _drained(spark, d, f, mode):
-    name = f"s{uuid.uuid4().hex}"
-    return streams.drained(f(streams.stream(spark, f"{d}/events.parquet*")), name, _checkpoint(spark, name), mode)
+    return streams.drained(f(streams.stream(spark, f"{d}/events.parquet*")), _checkpoint(spark, "drained"), _checkpoint(spark, "stream"), mode)
 
 
 @query("SELECT cast(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

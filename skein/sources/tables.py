@@ -125,3 +125,10 @@ def write_snapshot(df: DataFrame, base: str, version: int, partition_by: list[st
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_sidecars(spark: SparkSession, path: str, most_chars: int | None = None) -> DataFrame:
+    """Payloads kept as JSON files, one object each; of the content only the first characters where that is enough."""
+    schema = "ref string, kind string, session_id string, tool_call_id string, role string, content string, chars long, bytes long"
+    rows = spark.read.schema(schema).json(path)
+    return rows if most_chars is None else rows.withColumn("content", F.substring("content", 1, most_chars))
