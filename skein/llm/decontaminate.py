@@ -15,6 +15,7 @@ WINDOW = 13
 SHINGLE = 3
 #: Windows of the benchmark up to which their shingles are sent to every executor: about 16 MB.
 BROADCAST_WINDOWS = 50_000
+REPORT = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -86,15 +87,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     Null and empty texts have no words and no hits; items without words match
     nothing; equal windows of several items count for each. Every row is decided
     by its own text, whether its id is null, repeated or neither. Columns named
-    in `carry` are returned as well. Empty tables are allowed on either side;
+    in `carry` are returned as well, but for those named as the report's. Empty tables are allowed on either side;
     other columns are not read.
     """
+    carry = [c for c in carry if c not in REPORT]
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.when(F.col(id_col).isNull(), F.sha2(text, 256)).otherwise(F.xxhash64(text).cast("string")))
     windows = written(item_windows(benchmark, item_id, item_text, window), "windows")
     sizes = sorted(r[0] for r in windows.select(F.least("len", F.lit(SHINGLE))).distinct().collect())  # SHINGLE rows at most
     small = windows.count() <= broadcast_windows
-    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.size(words_of(F.col(text_col))).alias("n_words"), *carry)
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.size(words_of(F.col(text_col))).alias("n_words"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carry")] if carry else []))
     if not sizes:
         return _report(rows.withColumns({"n_hit": F.lit(None).cast("int"), "items": F.lit(None).cast("array<string>")}), share, carry)
     parts = [windows.filter(F.least("len", F.lit(SHINGLE)) == n).select("wid", "len", "window", F.explode(shingles_of(F.col("window"), n)).alias("s")) for n in sizes]
@@ -122,5 +124,5 @@ def _report(out: DataFrame, share: tuple[int, int], carry: Sequence[str]) -> Dat
     n_hit, names = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (n_hit * share[1] >= F.col("n_words") * share[0])).alias("contaminated"), *carry,
+        ((n_hit > 0) & (n_hit * share[1] >= F.col("n_words") * share[0])).alias("contaminated"), *(F.col(f"carry.`{c}`") for c in carry),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import SPACES, ascii_lower, written
+from skein.llm.common import SPACES, ascii_lower, unused, written
 from skein.llm.occurrences import later_occurrences
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
@@ -40,15 +40,17 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     A null or empty text is one empty line, which stays. Rows without an id, and
     lines shorter than the bound, lose nothing and count nowhere. Rows of one id
-    count as one document and lose the same line numbers. Columns named as the
-    new ones are replaced. An empty table gives an empty result.
+    count as one document and lose the same line numbers; ids are whole numbers.
+    Columns named as the new ones are replaced, others kept whatever their name. An empty table gives an empty result.
     """
     bitmaps = written(drop_bitmaps(docs, id_col=id_col, text_col=text_col, least_chars=least_chars, least_docs=least_docs), "bitmaps")
-    joined = docs.withColumn("_id", F.col(id_col).cast("long")).join(bitmaps.withColumnsRenamed({"doc_id": "_id", "dropped": "_dropped"}).hint("merge"), "_id", "left")  # no bound is known, so no broadcast
-    lines = F.when(F.col("_dropped").isNull(), F.array(F.coalesce(F.col(text_col), F.lit("")))).otherwise(F.filter(lines_of(F.col(text_col)), lambda x, i: F.coalesce(F.try_element_at("_dropped", F.shiftright(i, 6)).bitwiseAND(_bit(i)), F.lit(0)) == 0))
-    n_lines = F.length(F.coalesce(F.col(text_col), F.lit(""))) - F.length(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(""))) + 1
-    n_dropped = F.coalesce(F.aggregate(F.map_values("_dropped"), F.lit(0), lambda a, x: a + F.bit_count(x)), F.lit(0))
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    own, gone = unused(docs, "_id"), unused(docs, "_dropped")
+    joined = docs.withColumn(own, F.col(id_col).cast("long")).join(bitmaps.withColumnsRenamed({"doc_id": own, "dropped": gone}).hint("merge"), own, "left")  # no bound is known, so no broadcast
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    lines = F.when(F.col(gone).isNull(), F.array(text)).otherwise(F.filter(lines_of(F.col(text_col)), lambda x, i: F.coalesce(F.try_element_at(gone, F.shiftright(i, 6)).bitwiseAND(_bit(i)), F.lit(0)) == 0))
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    n_dropped = F.coalesce(F.aggregate(F.map_values(gone), F.lit(0), lambda a, x: a + F.bit_count(x)), F.lit(0))
+    keep = [f"`{c}`" for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     return joined.select(*keep, n_lines.cast("long").alias("n_lines"), n_dropped.cast("long").alias("n_dropped"), F.array_join(lines, "\n").alias("kept_text"))
 
 

@@ -95,15 +95,17 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int, bands: int, per_band: in
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Nodes with their shingles, from rows (node, c1, c2, text) of an id of the node: those whose text is the node's own."""
     for batch in batches:
-        ids = batch.column(0)
-        data, offsets = text_bytes(batch.column(1))
+        data, offsets = text_bytes(batch.column(3))
         for i, j, part, at in blocks(data, offsets):
             sets, bounds = shingle_sets(part, at, size)
             full = np.diff(bounds) > 0
             names = np.zeros((2, j - i), np.int64)
             names[0, full], names[1, full] = (x.view(np.int64) for x in set_names(sets, bounds))
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(names[0]), pa.array(names[1]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["rep", "c1", "c2", "shingles"])
+            own = full & (names[0] == batch.column(1).slice(i, j - i).to_numpy()) & (names[1] == batch.column(2).slice(i, j - i).to_numpy())
+            rows = pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sets.view(np.int64)))], names=["node", "shingles"])
+            yield rows if own.all() else rows.filter(pa.array(own))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -125,7 +127,7 @@ def _fits(a: str, b: str, similarity: tuple[int, int]) -> Column:
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of bands that hold several components so far, with their root."""
-    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "node", "n_shingles", "root")
+    labelled = members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "node", "n_shingles", "root")
     mixed = labelled.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
     return written(attach(labelled, mixed, ["band"], ["lo"], "m", F.col("node")).filter("lo is not null").drop("lo"), "mixed")
 
@@ -148,7 +150,7 @@ def _rest(mixed: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> Dat
     """
     part, whole = similarity
     labelled = mixed.select("node", "root").distinct()
-    tokens = written(labelled.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
+    tokens = written(labelled.join(sets.hint("merge"), "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("token")), "tokens")
     rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     need = (F.col("n") - F.ceil(F.col("n") * part / whole) + 1).cast("int")
     ordered = attach(tokens, rare, ["token"], ["df", "lo", "hi"], "df", F.col("node")).groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token", (F.col("lo") < F.col("hi")).alias("shared")))).alias("p"))
@@ -201,10 +203,9 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     pivots = members.groupBy("band").agg(F.min(F.struct(order.alias("o"), "node", "n_shingles")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", "m", F.col("p.node").alias("pivot"), F.col("p.n_shingles").alias("n_pivot"))
     pivots = written(pivots, "pivots")
     members = written(attach(members, pivots, ["band"], ["pivot", "n_pivot"], "m", F.col("node")).filter(F.col("pivot").isNotNull()), "members")
-    wanted = written(members.select("node").distinct().join(classes, "node").select("node", "rep", "c1", "c2"), "wanted")
-    texts = thin.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    found = texts.mapInArrow(lambda b: _sets(b, shingle), "rep long, c1 long, c2 long, shingles array<long>")
-    sets = written(found.join(wanted, ["rep", "c1", "c2"]).select("node", "shingles").dropDuplicates(["node"]), "sets")
+    wanted = members.select("node").distinct().join(classes.select("node", F.col("rep").alias("doc_id"), "c1", "c2").hint("merge"), "node")
+    texts = thin.join(wanted.hint("merge"), "doc_id").select("node", "c1", "c2", "text")  # no bound is known, so no broadcast
+    sets = written(texts.mapInArrow(lambda b: _sets(b, shingle), "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
     star = members.filter((F.col("node") != F.col("pivot")) & _fits("n_shingles", "n_pivot", similarity)).select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
     links = written(_confirmed(star, sets, similarity), "links")
     roots = components(links)
@@ -233,10 +234,10 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         links = written(_confirmed(_rest(mixed, sets, similarity), sets, similarity), "links")
         roots = components(links.union(roots.select("node", "root"))) if not links.isEmpty() else roots
         removed(links)
-    linked = classes.drop("bands").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = classes.drop("bands").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = linked.groupBy("root").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("n_classes"))
     joined = written(attach(linked, least, ["root"], ["component"], "n_classes", F.col("node")).select(*name, "n_docs", "component"), "components")
-    for t in (pivots, members, wanted, sets, mixed, classes):
+    for t in (pivots, members, sets, mixed, classes):
         removed(t)
     out = attach(signed.drop("bands"), joined, name, ["component"], "n_docs", F.col("doc_id"))
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

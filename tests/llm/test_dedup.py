@@ -70,6 +70,13 @@ def test_lines(table):
         assert (r.n_lines, r.n_dropped, r.kept_text) == (len(lines[r.doc_id]), len(lines[r.doc_id]) - len(kept), "\n".join(kept))
 
 
+def test_lines_beside_clashing_columns(spark):
+    rows = [(i, "a line that is long enough\nown %d" % i, "x", i + 0.5, 7) for i in range(4)]
+    out = line_dedup(spark.createDataFrame(rows, "doc_id long, text string, _id string, _dropped double, n_lines int"))
+    assert out.columns == ["doc_id", "text", "_id", "_dropped", "n_lines", "n_dropped", "kept_text"]
+    assert sorted((r.doc_id, r._id, r._dropped, r.n_lines, r.n_dropped) for r in out.collect()) == [(i, "x", i + 0.5, 2, int(i < 3)) for i in range(4)]
+
+
 @pytest.mark.parametrize("least,by_doc", [(2, False), (3, True), (2, True), (4, True)])
 def test_hot_keys_over_many_parts(spark, least, by_doc):
     """A key with most rows fills several parts; others begin and end at the parts' edges."""

@@ -92,6 +92,8 @@ def test_codec(spark, odd):
         rows = decode(ids).collect()
         assert all(r.parity and r.decoded == (r.text or "") for r in rows)
         assert all(r.ids == own_library(MODEL).encode(r.text or "") for r in rows)
+    spark.sparkContext.addFile(MODEL)  # a bare name is a file sent along with the job
+    assert encode(odd.select("doc_id", "text"), model=MODEL.rsplit("/", 1)[1]).filter("size(ids) > 0").count() == encode(odd.select("doc_id", "text")).filter("size(ids) > 0").count()
     hard = ["a▁b", "  ", " x  y   ", "\n\n \t", "🙂" * 20, "<s>", " " * 33 + "z" + " " * 7, "ÀÀÀ ßß", "1" * 50, "\u0000�"]
     table = spark.createDataFrame(list(enumerate(hard * 3)), "doc_id long, text string")
     got = encode(table, parity=True, round_trip=True).collect()

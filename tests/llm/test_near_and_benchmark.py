@@ -147,6 +147,12 @@ def test_repeated_ids_and_broken_windows(spark, bound):
     assert got == sorted((d, *leaks({d: t}, [(r.item_id, r.text) for r in bench.collect()])[d]) for d, t in docs)
 
 
+def test_carried_columns(spark):
+    docs = spark.createDataFrame([(1, "x y z", "k", "c", 5), (None, None, None, None, None)], "doc_id long, text string, key string, carry string, n_hit int")
+    out = decontaminate(docs, spark.createDataFrame([(7, "y z")], "item_id long, text string"), carry=["key", "text", "carry", "n_hit"])
+    assert sorted((r.key or "", r.text or "", r.carry or "", r.n_hit) for r in out.collect()) == [("", "", "", 0), ("k", "x y z", "c", 2)]
+
+
 def test_benchmark_edges(spark, odd):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not decontaminate(odd, none).filter("n_hit > 0").count()
