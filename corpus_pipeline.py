@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import shared_dir
+from skein.llm.common import removed, shared_dir
 from skein.llm.decontaminate import decontaminate
 from skein.llm.line_dedup import line_dedup
 from skein.llm.near_dedup import near_dedup
@@ -21,14 +21,18 @@ SHINGLE = 5
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field predicts good; the field learns from all labels of the corpus's documents."""
+    """Documents that the line field predicts good; the field learns from labels of the corpus's documents, a bounded sample.
+
+    Every row is judged by its own text: rows without an id, repeated rows, very
+    long texts like any other; a null or empty text is one empty line.
+    """
     corpus, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = train_quality(corpus.select("doc_id", "text"), labels)
     return score_quality(docs.select(*COLUMNS), field).filter("predicted = 1").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document left without text by that goes too, one that lost none stays as it is."""
+    """Repeated lines go; a document left without text by that goes too, one that lost none stays as it is, null or empty texts and rows without an id among them."""
     cut = line_dedup(docs.select(*COLUMNS))
     text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
     left = cut.filter((F.col("n_dropped") == 0) | (F.length(F.btrim("kept_text", F.lit(" \t\n\x0b\x0c\r"))) > 0)).withColumn("text", text)
@@ -36,7 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one of least id; rows without an id are linked with nothing and stay."""
+    """One document of each group of near duplicates stays, the one of least id; rows without an id are linked with nothing and stay, rows repeated with a kept id all stay."""
     kept = near_dedup(docs, shingle=SHINGLE).filter("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
     return named.unionByName(docs.filter("doc_id is null").select(*COLUMNS))
@@ -66,10 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written in the shared folder and read again."""
+    """All stages over documents, each one's result written in the shared folder and read again; what no later stage reads is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
+        if k:
+            removed(docs)
         docs = spark.read.parquet(f"{base}/{k}")
     return docs
