@@ -63,12 +63,12 @@ def last_seen(events: DataFrame) -> DataFrame:
 
 
 def drained(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return its result, a table under `path`; in complete mode that of the last batch."""
+    """Run a stream over all that is there and return its result, a table under `path`; in complete mode that of the last batch, in update mode all updates."""
     spark, last = df.sparkSession, []
     if mode == "append":
         writer = df.writeStream.format("parquet").option("path", f"{path}/all")
     else:
         writer = df.writeStream.outputMode(mode).foreachBatch(lambda out, i: (out.write.mode("overwrite").parquet(f"{path}/{i}"), last.append(i)))
     writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    folder = "all" if mode == "append" else str(last[-1]) if last else None
-    return spark.read.schema(df.schema).parquet(f"{path}/{folder}") if folder is not None else spark.createDataFrame([], df.schema)
+    folders = ["all"] if mode == "append" else [str(i) for i in (last[-1:] if mode == "complete" else last)]
+    return spark.read.schema(df.schema).parquet(*(f"{path}/{f}" for f in folders)) if folders else spark.createDataFrame([], df.schema)

@@ -3,7 +3,6 @@
 import hashlib
 import json
 import random
-import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,8 +247,7 @@ def test_metrics(spark):
 
 def test_streams(spark, tmp_path):
     events = streams.stream(spark, f"{SF}/events.parquet*")
-    name = f"t{uuid.uuid4().hex}"
-    last = streams.drained(streams.last_seen(events), name, str(tmp_path / "a"), "update")
+    last = streams.drained(streams.last_seen(events), str(tmp_path / "out"), str(tmp_path / "a"), "update")
     batch = src.rollup_events(spark, SF).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
     assert sorted(map(tuple, last.select("user_id", "n", "last").collect())) == sorted(map(tuple, batch.collect()))
     seen = []
