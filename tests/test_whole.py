@@ -3,9 +3,6 @@
 import datetime
 import re
 
-import duckdb
-import pytest
-from pyspark.sql import functions as F
 from skein.operators import diagnostics, store, vector
 from skein.plans import catalog, catalog_extra, catalog_more  # noqa: F401
 from skein.sources import tables as src
