@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +118,9 @@ def build_tokenizer(model: Model):
 
 
 #: Words whose ids a worker remembers; bytes of text whose words are looked up together.
-REMEMBERED, BATCH = 200_000, 4 << 20
+REMEMBERED, BATCH = 200_000, 2 << 20
+#: Words that are one input of the tokenizer, and inputs of one call: their pieces are held as strings until it ends.
+GROUP, GROUPS = 500, 16
 MARK = SPACE.encode()
 
 
@@ -144,7 +148,7 @@ class Codec:
     Where no normaliser but the space marker is at work, no piece reaches over
     the start of a word and bytes stand in for unknown signs, a text's ids are
     those of its words end to end. Then only the distinct words of a batch go
-    through the tokenizer, all in one call on its threads, and the ids are
+    through the tokenizer, many in one call on its threads, and the ids are
     gathered by word number.
     """
 
@@ -182,14 +186,16 @@ class Codec:
         return lists.flatten().to_numpy(), ends[first]
 
     def _learn(self, words: list[str]) -> None:
-        """Number words and keep their ids; groups of words are one input each, so that few objects are made."""
-        groups = [[w.replace(" ", SPACE) for w in words[i : i + 500]] for i in range(0, len(words), 500)]
+        """Number words and keep their ids; groups of words are one input each, so that few objects are made, and a bounded number of groups one call."""
         ids, sizes = [self.ids], [np.diff(self.bounds)]
-        for group, encoding in zip(groups, self.marked.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
-            own = np.array(encoding.ids, "<i4")
-            ends = np.searchsorted(np.cumsum(self.length[own]), np.cumsum([len(w.encode()) for w in group])) + 1
-            ids.append(own)
-            sizes.append(np.diff(ends, prepend=0))
+        for first in range(0, len(words), GROUP * GROUPS):
+            call = words[first : first + GROUP * GROUPS]
+            groups = [[w.replace(" ", SPACE) for w in call[i : i + GROUP]] for i in range(0, len(call), GROUP)]
+            for group, encoding in zip(groups, self.marked.encode_batch_fast(groups, is_pretokenized=True, add_special_tokens=False), strict=True):
+                own = np.array(encoding.ids, "<i4")
+                ends = np.searchsorted(np.cumsum(self.length[own]), np.cumsum([len(w.encode()) for w in group])) + 1
+                ids.append(own)
+                sizes.append(np.diff(ends, prepend=0))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.ids, self.bounds = np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(sizes)))
 
@@ -273,6 +279,22 @@ def _parity(path: str, texts: pa.Array, ids: np.ndarray, ends: np.ndarray) -> li
     return out
 
 
+def lean(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """The same batches; once they end, memory that Arrow's pool and the C library keep for later goes back to the system, as a worker waits for its next task with all it has."""
+
+    @wraps(work)
+    def run(*args) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(AttributeError):  # of the GNU library only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+@lean
 def _encode(batches: Iterator[pa.RecordBatch], path: str, at: int, names: list[str], parity: bool, round_trip: bool) -> Iterator[pa.RecordBatch]:
     codec = load(path)
     for batch in batches:
@@ -304,6 +326,7 @@ def encode(docs: DataFrame, *, text_col: str = "text", model: str = MODEL, parit
     return docs.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(lambda b: _encode(b, model, at, names, parity, round_trip), schema)
 
 
+@lean
 def _decode(batches: Iterator[pa.RecordBatch], path: str, at: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     codec = load(path)
     for batch in batches:
@@ -324,6 +347,7 @@ def decode(encoded: DataFrame, *, ids_col: str = "ids", model: str = MODEL) -> D
     return encoded.select(*(F.col(f"`{n}`") for n in names)).mapInArrow(lambda b: _decode(b, model, at, names), schema)
 
 
+@lean
 def _digest(batches: Iterator[pa.RecordBatch], path: str, first_byte: int, n_bytes: int) -> Iterator[pa.RecordBatch]:
     codec = load(path)
     for batch in batches:

@@ -1,16 +1,19 @@
 """Classifiers by held-out accuracy, the codec by parity and round trip, the pipeline's stages against plain Python."""
 
 import itertools
+import subprocess
+import sys
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from skein.llm import quality, queries
 from skein.llm.lang_id import identify_language, train_language
 from skein.llm.near_dedup import near_dedup
 from skein.llm.quality import LineField, line_features, marginals, score_quality, train_quality
-from skein.llm.sentencepiece_codec import MODEL, Model, build_tokenizer, codec_report, decode, encode, load, merges_of, own_library, parse_model
+from skein.llm.sentencepiece_codec import MODEL, Codec, Model, build_tokenizer, codec_report, decode, encode, load, merges_of, own_library, parse_model, read_model
 from test_near_and_benchmark import classes, leaks
 
 SF = "/root/testdata/sf0.01"
@@ -153,3 +156,42 @@ def test_any_ids_decode_as_in_the_library():
         size = int(rng.integers(0, 12))
         ids = np.where(rng.random(size) < 0.5, rng.integers(3, 259, size), rng.integers(0, n, size)).astype(np.int32)
         assert codec.decode(ids, np.array([0, size])) == [codec.tokenizer.decode(ids.tolist(), skip_special_tokens=False)]
+
+
+HELD = """
+import re, sys
+import pyarrow as pa
+from skein.llm.sentencepiece_codec import MODEL, _encode, load
+
+def held():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def batches():
+    for k in range(3):
+        yield pa.record_batch([pa.array([" ".join(f"w{k}x{i * 7919 % 60000}q{j}" for j in range(300)) for i in range(200)])], names=["text"])
+
+load(MODEL)
+before, rows = held(), sum(b.num_rows for b in _encode(batches(), MODEL, 0, ["text"], False, True))
+print(rows, held() - before)
+"""
+
+
+def test_codec_memory_is_bounded():
+    """One call of the tokenizer holds a bounded number of words, and between tasks a worker holds little more than the words it remembers."""
+    codec, calls = Codec(parse_model(read_model(MODEL))), []
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, groups, **k):
+            calls.append(sum(map(len, groups)))
+            return self.inner.encode_batch_fast(groups, **k)
+
+    codec.marked = Counting(codec.marked)
+    texts = [" ".join(f"word{i}é{j}" for j in range(700)) for i in range(30)]
+    ids, ends = codec.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(ends)] == own_library(MODEL).encode(texts)
+    assert sum(calls) == 21_000 and max(calls) <= 8_000
+    rows, mb = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert int(rows) == 600 and float(mb) < 75
