@@ -45,7 +45,7 @@ def structured_redaction(spark, d):
         F.concat(F.lit('{"user": "u", "auth": {"Service-API-key": "'), "k", F.lit('"}, "password": "p'), "k", F.lit('"}')), F.concat(F.lit('[{"note": "fine", "tokens": "'), "k", F.lit('"}]')),
         F.concat(F.lit('no json "password": '), "k"), F.concat(F.lit('{"note": "Bearer '), F.sha2("k", 256), F.lit('"}')),
     ]
-    return _orders(spark, d).filter("length(k) < 6").select("o_orderkey", F.get(F.array(*kinds), "i").alias("x")).select("o_orderkey", C.redact_structured(F.col("x")).alias("content"))
+    return _orders(spark, d).select("o_orderkey", F.get(F.array(*kinds), "i").alias("x")).select("o_orderkey", C.redact_structured(F.col("x")).alias("content"))
 
 
 _HELD = "(SELECT o_orderkey, 'data:image/png;base64,' || repeat(sha256('' || o_orderkey), 5) AS uri, repeat('Zz09+/ab' || substr(sha256('' || o_orderkey), 1, 8), 300) AS run FROM orders)"
