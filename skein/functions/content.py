@@ -24,22 +24,30 @@ SECRET_KEYS = {
 
 def content_slice(text: Column, max_tokens: int, offset: Column | int = 0) -> Column:
     """(content, content_offset, next_offset, has_more): the longest prefix from an offset on, by halving, that fits the tokens; one character in any case, so that a reader gets on."""
-    text = F.coalesce(text, F.lit(""))
-    start = F.least(F.greatest(F.lit(offset) if isinstance(offset, int) else offset, F.lit(0)), F.length(text)).cast("int")
-    rest = F.substring(text, start + 1, F.length(text))
-
-    def halve(a: Column, _: Column) -> Column:
-        middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
-        open_, fits = a["low"] <= a["high"], token_estimate(F.substring(rest, F.lit(1), middle)) <= max_tokens
-        return F.struct(
-            F.when(open_ & fits, middle + 1).otherwise(a["low"]).alias("low"), F.when(open_ & ~fits, middle - 1).otherwise(a["high"]).alias("high"), F.when(open_ & fits, middle).otherwise(a["best"]).alias("best"),
-        )
-
-    most = F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.struct(F.lit(0).alias("low"), F.length(rest).alias("high"), F.lit(0).alias("best")), halve, lambda a: a["best"])
-    size = F.when(token_estimate(rest) <= max_tokens, F.length(rest)).when(F.lit(max_tokens <= 0), 0).otherwise(most)
-    size = F.least(F.greatest(size, F.lit(1)), F.length(rest)).cast("int")
-    more = start + size < F.length(text)
-    return F.struct(F.substring(rest, F.lit(1), size).alias("content"), start.alias("content_offset"), F.when(more, start + size).otherwise(0).cast("int").alias("next_offset"), more.alias("has_more"))
+    most = max(4 * max_tokens, 1)  # characters: as many are a token more, however they count
+
+    def of(text: Column) -> Column:
+        start = F.least(F.greatest(F.lit(offset) if isinstance(offset, int) else offset, F.lit(0)), F.length(text)).cast("int")
+        return let(F.struct(text.alias("text"), start.alias("start"), (F.length(text) - start).alias("left"), F.substring(text, start + 1, F.lit(most)).alias("head")), cut)
+
+    def cut(x: Column) -> Column:
+        fits = lambda n: (n < most) & (token_estimate(F.substring(x["head"], F.lit(1), n)) <= max_tokens)
+
+        def halve(a: Column, _: Column) -> Column:
+            middle = F.floor((a["low"] + a["high"]) / 2).cast("int")
+            longer = F.struct((middle + 1).alias("low"), a["high"].alias("high"), middle.alias("best"))
+            shorter = F.struct(a["low"].alias("low"), (middle - 1).alias("high"), a["best"].alias("best"))
+            return F.when(a["low"] > a["high"], a).when(fits(middle), longer).otherwise(shorter)
+
+        halved = F.aggregate(F.sequence(F.lit(0), F.lit(31)), F.struct(F.lit(0).alias("low"), x["left"].alias("high"), F.lit(0).alias("best")), halve, lambda a: a["best"])
+        size = F.when(fits(x["left"]), x["left"]).when(F.lit(max_tokens <= 0), 0).otherwise(halved)
+        return let(F.least(F.greatest(size, F.lit(1)), x["left"]).cast("int"), lambda n: sliced(x, n))
+
+    def sliced(x: Column, n: Column) -> Column:
+        more = n < x["left"]
+        return F.struct(F.substring(x["head"], F.lit(1), n).alias("content"), x["start"].alias("content_offset"), F.when(more, x["start"] + n).otherwise(0).cast("int").alias("next_offset"), more.alias("has_more"))
+
+    return let(F.coalesce(text, F.lit("")), of)
 
 
 def canonical(text: Column) -> Column:
