@@ -300,10 +300,10 @@ lr AS (SELECT doc_id, length(p) AS chars, len(w) AS n, len(list_distinct(w)) / g
 @query(sql("SELECT doc_id, CASE WHEN (n < 1000 AND chars >= 65536 AND signs <= 12) OR (n >= 1000 AND ((u <= 0.03 AND (seg >= 0.1 OR dup >= 0.5 OR top >= 0.08)) OR (u <= 0.015 AND signs <= 64))) THEN 'high_repetition' END AS reason FROM ld LEFT JOIN lr USING (doc_id)", _LOOPS))
 def quarantine_reasons(spark, d):
     docs = src.table(spark, d, "documents").select("doc_id", "text")
-    k = F.col("doc_id") % 3
-    numbered = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(6999)), lambda i: F.concat(F.lit("said so "), (i % 150).cast("string"), F.lit(" n"), i.cast("string"))), " ")
-    loop = F.when(k == 0, F.repeat(F.concat(F.substring("text", 1, 300), F.lit(". ")), 400)).when(k == 1, numbered).otherwise(F.repeat(F.lit("=-"), 40000))
-    every = docs.unionByName(docs.filter((F.col("doc_id") % 10 == 0) & (F.length("text") > 0)).select((-F.col("doc_id") - 1).alias("doc_id"), loop.alias("text")))
+    k, numbered = F.col("doc_id") % 3, " ".join(f"said so {i % 150} n{i}" for i in range(7000))
+    heads = src.spread(docs.filter((F.col("doc_id") % 10 == 0) & (F.length("text") > 0)).select("doc_id", F.substring("text", 1, 300).alias("head")))  # each makes a long text
+    loop = F.when(k == 0, F.repeat(F.concat("head", F.lit(". ")), 400)).when(k == 1, F.lit(numbered)).otherwise(F.repeat(F.lit("=-"), 40000))
+    every = docs.unionByName(heads.select((-F.col("doc_id") - 1).alias("doc_id"), loop.alias("text")))
     return every.select("doc_id", T.quarantine_reason(F.col("text")).alias("reason"))
 
 
