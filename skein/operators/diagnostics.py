@@ -11,11 +11,14 @@ from pyspark.sql.window import Window
 from skein.functions import text as T
 
 
-def payload_risks(messages: DataFrame, limit: int = 50) -> DataFrame:
-    """The longest messages with what is wrong with them; only flagged ones, metadata only."""
+def payload_risks(messages: DataFrame, limit: int | None = 50) -> DataFrame:
+    """The longest messages with what is wrong with them; only flagged ones, metadata only. Without a limit, all of them in no order."""
     c = F.col("content")
-    flags = messages.select("store_id", "session_id", "role", F.length(c).alias("chars"), T.has_data_uri(c).alias("data_uri"), T.has_base64(c).alias("base64"), T.is_noise(c).alias("noise"), T.is_heartbeat(F.col("role"), c).alias("heartbeat"), T.quarantine_reason(c).isNotNull().alias("repetitive"))
-    return flags.filter("data_uri OR base64 OR noise OR heartbeat OR repetitive").orderBy(F.desc("chars"), "store_id").limit(limit)
+    found = {"data_uri": T.has_data_uri(c), "base64": T.has_base64(c), "noise": T.is_noise(c), "heartbeat": T.is_heartbeat(F.col("role"), c), "repetitive": T.quarantine_reason(c).isNotNull()}
+    flags = F.array(F.struct(F.length(c).alias("chars"), *(v.alias(k) for k, v in found.items())))
+    flagged = F.filter(flags, lambda x: reduce(lambda a, b: a | b, (x[k] for k in found)))  # a filter of rows would work them out a second time
+    rows = messages.select("store_id", "session_id", "role", F.inline(flagged))
+    return rows if limit is None else rows.orderBy(F.desc("chars"), "store_id").limit(limit)
 
 
 def payload_integrity(messages: DataFrame, payloads: DataFrame) -> DataFrame:

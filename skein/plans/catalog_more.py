@@ -465,8 +465,8 @@ def policy_scores(spark, d):
 
 @query("SELECT p_partkey AS store_id, length(x) AS chars, p_partkey % 10 IN (0, 2, 3) AS data_uri, p_partkey % 10 = 4 AS base64, p_partkey % 10 = 8 AS noise, p_partkey % 10 = 9 AS heartbeat, false AS repetitive FROM (SELECT *, " + _FLAGGED + " AS x FROM part) WHERE p_partkey % 10 IN (0, 2, 3, 4, 8, 9)")
 def payload_risks(spark, d):
-    m = src.table(spark, d, "part").select(F.col("p_partkey").alias("store_id"), F.lit("s").alias("session_id"), F.lit("assistant").alias("role"), F.expr(_FLAGGED.replace("\\", "\\\\")).alias("content"))
-    return diagnostics.payload_risks(m, 2**31 - 1).select("store_id", "chars", "data_uri", "base64", "noise", "heartbeat", "repetitive")
+    m = src.spread(src.table(spark, d, "part").select("p_partkey", "p_name")).select(F.col("p_partkey").alias("store_id"), F.lit("s").alias("session_id"), F.lit("assistant").alias("role"), F.expr(_FLAGGED.replace("\\", "\\\\")).alias("content"))
+    return diagnostics.payload_risks(m, None).select("store_id", "chars", "data_uri", "base64", "noise", "heartbeat", "repetitive")
 
 
 # --- streams ---------------------------------------------------------------
