@@ -120,7 +120,7 @@ def evidence_completeness(spark, d):
     (cast(p_size AS DOUBLE), 'dollar', 'I paid $' || n, 8, 8 + length(n)), (1200.5::DOUBLE, 'mile', 'ran 1,200.5 miles', 13 + length(n) + 4, 13 + length(n) + 17), (3.0::DOUBLE, 'apple', 'ate three apples', 36 + length(n), 36 + length(n) + 12)) v(value, unit, clause, a, z)""")
 def numeric_candidates(spark, d):
     text = F.concat(F.lit("I paid $"), F.col("p_size").cast("string"), F.lit(" and ran 1,200.5 miles, ate three apples. Was it 7 days?"))
-    rows = src.table(spark, d, "part").select("p_partkey", text.alias("quote"), F.lit(100).alias("span_start"))
+    rows = src.spread(src.table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", text.alias("quote"), F.lit(100).alias("span_start"))
     return evidence.numeric_candidates(rows).select("p_partkey", "value", "unit", "clause", "value_start", "value_end")
 
 
