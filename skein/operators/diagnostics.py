@@ -62,23 +62,35 @@ def doctor(messages: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("check") == "frontier_nodes", "info").when(F.col("n") == 0, "ok").otherwise("warn"))
 
 
-def recall_at_k(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """(query_id, recall) over relevant (query_id, id); hits (query_id, id, rank) count once at their best rank."""
+def _judged(hits: DataFrame, relevant: DataFrame | tuple[DataFrame, DataFrame], k: int) -> tuple[DataFrame, DataFrame]:
+    """(query_id, n) relevant ids of each query, and those of its first k hits that are relevant, with their place p; hits count once at their best rank."""
     best = hits.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
     top = best.withColumn("p", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))).filter(F.col("p") <= k)
+    if isinstance(relevant, tuple):
+        asked, items = relevant[0].select("query_id", "class").distinct(), relevant[1].select("id", "class").distinct()
+        sizes = asked.join(items.groupBy("class").agg(F.count(F.lit(1)).alias("n")), "class").groupBy("query_id").agg(F.sum("n").alias("n"))
+        return sizes, top.join(asked, "query_id").join(items, ["id", "class"], "left_semi")
     want = relevant.select("query_id", "id").distinct()
-    found = top.join(want, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
-    return want.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(found, "query_id", "left").select("query_id", F.round(F.coalesce("found", F.lit(0)) / F.col("n"), 6).alias("recall"))
+    return want.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), top.join(want, ["query_id", "id"], "left_semi")
 
 
-def ndcg_at_k(hits: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """(query_id, ndcg) with binary relevance and discount log2(place + 1)."""
-    best = hits.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
-    top = best.withColumn("p", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))).filter(F.col("p") <= k)
-    want = relevant.select("query_id", "id").distinct()
-    gain = top.join(want, ["query_id", "id"], "left_semi").groupBy("query_id").agg(F.sum(1 / F.log2(F.col("p") + 1)).alias("dcg"))
+def recall_at_k(hits: DataFrame, relevant: DataFrame | tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+    """(query_id, recall) over relevant (query_id, id); hits (query_id, id, rank) count once at their best rank.
+
+    Where what is relevant is what is of a query's class, (query_id, class) and
+    (id, class), an id of one class, stand for the pairs: these are never made.
+    """
+    sizes, held = _judged(hits, relevant, k)
+    found = held.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+    return sizes.join(found, "query_id", "left").select("query_id", F.round(F.coalesce("found", F.lit(0)) / F.col("n"), 6).alias("recall"))
+
+
+def ndcg_at_k(hits: DataFrame, relevant: DataFrame | tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+    """(query_id, ndcg) with binary relevance, as pairs or by classes as `recall_at_k`, and discount log2(place + 1)."""
+    sizes, held = _judged(hits, relevant, k)
+    gain = held.groupBy("query_id").agg(F.sum(1 / F.log2(F.col("p") + 1)).alias("dcg"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-    return want.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).join(gain, "query_id", "left").select("query_id", F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
+    return sizes.join(gain, "query_id", "left").select("query_id", F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
 
 
 def latency(rows: DataFrame, value: str, *by: str) -> DataFrame:

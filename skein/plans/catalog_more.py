@@ -444,7 +444,7 @@ def _labelled(spark, d):
     from skein.operators import vector
 
     hits = vector.knn_batch(v, q, 10, 64).select("query_id", F.col("row_id").alias("id"), F.col("place").alias("rank"))
-    return hits, q.select("query_id", "label").join(v.select(F.col("row_id").alias("id"), "label"), "label").select("query_id", "id")
+    return hits, (q.select("query_id", F.col("label").alias("class")), v.select(F.col("row_id").alias("id"), F.col("label").alias("class")))
 
 
 @query(sql("SELECT w.query_id, round(count(h.id) / max(w.n), 6) AS recall FROM w LEFT JOIN h ON h.query_id = w.query_id AND h.id = w.id AND h.rank <= 10 GROUP BY 1", V, _HITS))
