@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,19 +83,27 @@ def fold_segments(rows: DataFrame, group: str, order: str, cost: str, budget: in
     """Number greedy runs of each group: a run takes rows in order while they fit the budget, and one row at least.
 
     Only (group, order, cost) goes through the fold; the numbers are joined back.
+    A task folds its sorted rows as they stream by, whatever groups they are of.
     """
-    thin = rows.select(group, order, F.col(cost).cast("long").alias("_cost"))
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f, n, used, numbers = f.sort_values(order, kind="stable"), 0, None, []
-        for c in f["_cost"].fillna(0).astype(int):
-            fresh = used is not None and used + c > budget
-            n, used = n + fresh, c if used is None or fresh else used + c
-            numbers.append(n)
-        return f[[group, order]].assign(**{out: numbers})
+    thin = rows.select(group, order, F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("_cost"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n, used = object(), 0, 0
+        for b in batches:
+            numbers = []
+            for g, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if g != last:
+                    last, n, used = g, 0, c
+                elif used + c > budget:
+                    n, used = n + 1, c
+                else:
+                    used += c
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(numbers, pa.int32())], names=[group, order, out])
 
     kinds = {f.name: f.dataType.simpleString() for f in thin.schema.fields}
-    numbered = thin.groupBy(group).applyInPandas(run, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, `{out}` int")
+    ordered = thin.repartition(group).sortWithinPartitions(group, F.col(order).asc_nulls_last())
+    numbered = ordered.mapInArrow(run, f"`{group}` {kinds[group]}, `{order}` {kinds[order]}, `{out}` int")
     return rows.join(numbered, [group, order])
 
 
